@@ -28,18 +28,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def repeated_words(w: Column) -> Column:
-    """How many words stand in a 3-word window that occurs twice or more. w: the words."""
-    n = F.size(w)
-    grams = F.when(n >= 4, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))))
-    return grams
-
-
-def covered(grams: Column) -> Column:
-    """Words covered by the windows whose hash occurs twice or more: sorted by hash and place, neighbours are compared."""
-    placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    twice = F.filter(placed, lambda x, k: (F.get(placed, k - 1)["g"] == x["g"]) | F.coalesce(F.get(placed, k + 1)["g"] == x["g"], F.lit(False)))
-    at = F.array_sort(F.transform(twice, lambda x: x["i"]))
+def windows(w: Column) -> Column:
+    """A hash for each window of three words; null below four words, where no window can occur twice."""
+    return F.when(F.size(w) >= 4, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))))
+
+
+def placed(grams: Column) -> Column:
+    """Windows sorted by hash, then place; null where none occurs twice. A column of its own: neighbours are compared next."""
+    return F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+
+
+def covered(sorted_: str) -> Column:
+    """Words in windows whose hash occurs twice or more: equal neighbours give places, places cover three words each."""
+    n = F.size(sorted_)
+    pairs = F.zip_with(F.slice(sorted_, F.lit(1), n - 1), F.slice(sorted_, F.lit(2), n - 1), lambda x, y: F.when(x["g"] == y["g"], F.array(x["i"], y["i"])))
+    at = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
     return F.aggregate(at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda acc, i: F.struct((acc["n"] + F.least(i - acc["last"], F.lit(3))).alias("n"), i.alias("last")), lambda acc: acc["n"])
 
 
@@ -51,10 +54,10 @@ def base(docs: DataFrame) -> DataFrame:
     d = d.select(
         "row", "doc_id", "host", F.xxhash64("text").alias("copy"), F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("w")).alias("grams"), F.transform("lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(words(x)).alias("words"))).alias("lines"),
+        windows(F.col("w")).alias("grams"), F.transform("lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(words(x)).alias("words"))).alias("lines"),
     )
-    repeats = F.when(F.size(F.array_distinct("grams")) < F.size("grams"), covered(F.col("grams"))).otherwise(F.lit(0).cast("long"))
-    return d.select("row", "doc_id", "host", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(repeats, F.lit(0)).alias("n_repeat_words"), "lines")
+    d = d.withColumn("grams", placed(F.col("grams")))
+    return d.select("row", "doc_id", "host", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("grams").isNull(), F.lit(0).cast("long")).otherwise(covered("grams")).alias("n_repeat_words"), "lines")
 
 
 def quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
