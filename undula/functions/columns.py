@@ -57,7 +57,7 @@ def bad_parameters(items: Column) -> Column:
 
 def chain_steps(text: Column) -> Column:
     """Steps of `a:k=v;k2=v2,b` as an array of (plugin, params); blank steps are skipped."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
 
     def one(s: Column) -> Column:
         rest = F.when(F.instr(s, ":") > 0, F.substring(s, F.instr(s, ":") + 1, F.length(s))).otherwise(F.lit(""))

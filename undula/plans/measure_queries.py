@@ -96,7 +96,7 @@ def a32(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.resampled(fm, 6), 6, "v")
 
 
-QUIET = "pow(10, -4.7::double / 20)"
+QUIET = "pow(10, -2::double / 20)"
 RUNS = f"""rn as (select track, frame_no, start, q, sum(ch) over (partition by track order by frame_no) run from (select track, frame_no, start, rms < {QUIET} q, case when (rms < {QUIET}) = lag(rms < {QUIET}) over (partition by track order by frame_no) then 0 else 1 end ch from fm)),
 isl as (select track, run, q, min(start) a, max(start) z, count(*) k from rn group by all)"""
 
@@ -104,23 +104,23 @@ isl as (select track, run, q, min(start) a, max(start) z, count(*) k from rn gro
 @query("r1_silence", f"with {FRAMES}, {RUNS}, l as (select track, q, a, lead(a) over (partition by track order by a) nx from isl) select track, a, coalesce(nx, n) b from l join n using (track) where q and coalesce(nx, n) - a >= 8")
 def r1(spark: SparkSession, d: str) -> DataFrame:
     s = V.series(spark, d)
-    return R.silence(M.frame_metrics(s, SIZE, HOP), E.lengths(s), -4.7, 8)
+    return R.silence(M.frame_metrics(s, SIZE, HOP), E.lengths(s), -2.0, 8)
 
 
-R2 = f"""g0 as (select track, frame_no, start, zcr, sum(ch) over (partition by track order by frame_no) run from (select *, case when (zcr > 0.46) = lag(zcr > 0.46) over (partition by track order by frame_no) then 0 else 1 end ch from fm)),
-ev as (select track, min(start) a, max(start) + 16 b, max(zcr) score from g0 group by track, run having bool_and(zcr > 0.46) and max(start) + 16 - min(start) >= 20),
+R2 = f"""g0 as (select track, frame_no, start, rms, sum(ch) over (partition by track order by frame_no) run from (select *, case when (rms > 0.83) = lag(rms > 0.83) over (partition by track order by frame_no) then 0 else 1 end ch from fm)),
+ev as (select track, min(start) a, max(start) + 16 b, max(rms) score from g0 group by track, run having bool_and(rms > 0.83) and max(start) + 16 - min(start) >= 20),
 mg as (select *, sum(nw) over (partition by track order by a, b) grp from (select *, case when a - max(b) over (partition by track order by a, b rows between unbounded preceding and 1 preceding) <= 6 then 0 else 1 end nw from ev)),
 me as (select track, min(a) a, max(b) b, max(score) score from mg group by track, grp)"""
 
 
 @query("r2_mask_events", f"with {FRAMES}, {R2} select track, a, b, round(score, 6) score from me")
 def r2(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.mask_events(M.frame_metrics(V.series(spark, d), SIZE, HOP), F.col("zcr") > 0.46, SIZE, 20, 6, F.col("zcr")), 6, "score")
+    return rounded(R.mask_events(M.frame_metrics(V.series(spark, d), SIZE, HOP), F.col("rms") > 0.83, SIZE, 20, 6, F.col("rms")), 6, "score")
 
 
 @query("r3_first_events", f"with {FRAMES}, {R2} select track, k, a, b from (select track, a, b, cast(row_number() over (partition by track order by a) as int) k from me) where k <= 2")
 def r3(spark: SparkSession, d: str) -> DataFrame:
-    ev = R.mask_events(M.frame_metrics(V.series(spark, d), SIZE, HOP), F.col("zcr") > 0.46, SIZE, 20, 6, F.col("zcr"))
+    ev = R.mask_events(M.frame_metrics(V.series(spark, d), SIZE, HOP), F.col("rms") > 0.83, SIZE, 20, 6, F.col("rms"))
     return R.first_of(ev, 2).select("track", "k", "a", "b")
 
 
@@ -157,14 +157,14 @@ def a33(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "d8_speech_segments",
-    f"""with {FRAMES}, g0 as (select track, frame_no, rms, sum(ch) over (partition by track order by frame_no) run from (select *, case when (rms > 0.58) = lag(rms > 0.58) over (partition by track order by frame_no) then 0 else 1 end ch from fm)),
-    ev as (select track, min(frame_no) * 4 a, (max(frame_no) + 1) * 4 b from g0 group by track, run having bool_and(rms > 0.58)),
+    f"""with {FRAMES}, g0 as (select track, frame_no, rms, sum(ch) over (partition by track order by frame_no) run from (select *, case when (rms > 0.82) = lag(rms > 0.82) over (partition by track order by frame_no) then 0 else 1 end ch from fm)),
+    ev as (select track, min(frame_no) * 4 a, (max(frame_no) + 1) * 4 b from g0 group by track, run having bool_and(rms > 0.82)),
     mg as (select *, sum(nw) over (partition by track order by a, b) grp from (select *, case when a - max(b) over (partition by track order by a, b rows between unbounded preceding and 1 preceding) <= 7 then 0 else 1 end nw from ev)),
     me as (select track, min(a) a, max(b) b from mg group by track, grp having max(b) - min(a) >= 8), e as (select track, (max(frame_no) + 1) * 4 n from fm group by track)
     select track, greatest(greatest(a - 3, coalesce((lag(b) over w + a) // 2, 0)), 0) a, least(least(b + 3, coalesce((b + lead(a) over w) // 2, n)), n) b from me join e using (track) window w as (partition by track order by a)""",
 )
 def d8(spark: SparkSession, d: str) -> DataFrame:
-    return R.speech_segments(M.frame_metrics(V.series(spark, d), SIZE, HOP), F.col("rms") > 0.58, HOP, 8, 8, 3)
+    return R.speech_segments(M.frame_metrics(V.series(spark, d), SIZE, HOP), F.col("rms") > 0.82, HOP, 8, 8, 3)
 
 
 # Spectra: one frame of 64 samples per clip at 48 kHz, as a plain DFT in SQL.

@@ -57,12 +57,12 @@ LINES = "lines as (select l_suppkey track, 0 channel, cast(row_number() over (pa
 
 
 def mix_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mix, track, gain_db, pan, mute, solo, at (offset): one mix per nation, one track per supplier."""
+    """mix, track, gain_db, pan, mute, solo, shift (samples): one mix per nation, one track per supplier."""
     k = F.col("s_suppkey")
-    return read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mix"), k.alias("track"), F.round(F.col("s_acctbal") / 1000, 1).alias("gain_db"), ((k % 21 - 10) / 10.0).alias("pan"), (k % 7 == 0).alias("mute"), (k % 13 == 5).alias("solo"), (k % 5).alias("at"), F.col("s_name").alias("name"))
+    return read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mix"), k.alias("track"), F.round(F.col("s_acctbal") / 1000, 1).alias("gain_db"), ((k % 21 - 10) / 10.0).alias("pan"), (k % 7 == 0).alias("mute"), (k % 13 == 5).alias("solo"), (k % 5).alias("shift"), F.col("s_name").alias("name"))
 
 
-MIX = "mix_tracks as (select s_nationkey mix, s_suppkey track, round(s_acctbal / 1000, 1) gain_db, (s_suppkey % 21 - 10) / 10.0::double pan, s_suppkey % 7 = 0 mute, s_suppkey % 13 = 5 solo, s_suppkey % 5 at, s_name name from supplier)"
+MIX = "mix_tracks as (select s_nationkey mix, s_suppkey track, round(s_acctbal / 1000, 1) gain_db, (s_suppkey % 21 - 10) / 10.0::double pan, s_suppkey % 7 = 0 mute, s_suppkey % 13 = 5 solo, s_suppkey % 5 shift, s_name name from supplier)"
 
 
 def plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
