@@ -36,7 +36,7 @@ FOR = {
     "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "account", "bank", "konto"), "ssn": ("ssn", "social", "security"),
 }
 AGAINST = ("order", "version", "invoice", "isbn", "serial", "sample")
-PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.5, "phone": 0.6, "iban": 0.5, "ssn": 0.4}
+PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.5, "phone": 0.6, "iban": 0.5, "ssn": 0.5}
 CONTEXT, MIN_SCORE = 40, 0.7
 
 

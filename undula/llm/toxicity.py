@@ -44,7 +44,7 @@ WORDS = {
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n\"“”]")
 TYPES = ("insult", "aimed", "denied", "quoted", "threat", "hint")
 #: The grammar's own weights: of each type's matches, of repeated hints and hints in 100 words, and the score's offset.
-PRIOR, OFFSET = np.array([4.0, 5.0, 0.5, 0.5, 4.0, 0.5, 1.0, 0.5]), -3.0
+PRIOR, OFFSET = np.array([5.0, 6.0, 0.5, 0.5, 6.0, 0.5, 1.0, 0.5]), -3.0
 REACH = 3  # words over which a negation, target or intention carries
 
 
@@ -120,13 +120,13 @@ def learned_stems(texts: list[str], toxic: np.ndarray) -> dict[str, str]:
     seen: set[int] = set()
     counts, n = (Counter(), Counter()), [0, 0]
     for text, y in zip(texts, toxic, strict=True):
-        words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
-        hashed = sorted(zlib.crc32(w.encode()) for w in words)[:3]  # copies and near copies share these
-        if y and hashed and not seen.isdisjoint(hashed[:2]):
+        words = TOKEN.findall(text.lower())
+        hashed = sorted({zlib.crc32(" ".join(x).encode()) for x in zip(words, words[1:], words[2:])})[:2]  # copies and near copies share one at least
+        if y and not seen.isdisjoint(hashed):
             continue
         seen.update(hashed if y else ())
         n[y] += 1
-        stems = Counter(w[:k] for w in TOKEN.findall(text.lower()) for k in range(3, min(len(w), 8) + 1))
+        stems = Counter(w[:k] for w in words for k in range(3, min(len(w), 8) + 1))
         counts[y].update(stems.keys())
         counts[y].update(f"{p}+" for p, k in stems.items() if k > 1)  # repeated in the text
     ratio = lambda p: (counts[1][p] / max(n[1], 1)) / ((counts[0][p] + 0.5) / (n[0] + 1))
