@@ -58,6 +58,16 @@ def remainder(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(0)).cast("string").cast("binary")) % 5
 
 
+def hashed_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """At most n rows of df, those with the least hashes of `key`, to fit a model on. total: about how many rows df has.
+
+    An ordered limit gathers n rows of every partition; so first a bound on the hash leaves about 2 n rows of all, and
+    what is gathered doesn't grow with the corpus."""
+    if total > 2 * n:
+        df = df.filter(F.xxhash64(key) < -(1 << 63) + (1 << 64) // total * 2 * n)
+    return df.orderBy(F.xxhash64(key), key).limit(n)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is. ASCII texts, where lower() does just that, take the fast way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import arrow_map, batch, table
+from undula.llm.common import arrow_map, batch, hashed_sample, table
 
 SAMPLE, SAMPLE_CHARS = 300, 20_000
 PATH_DIM, WORD_DIM, HIDDEN, STEPS, RATE = 128, 8, 12, 200, 0.02
@@ -275,7 +275,7 @@ def pick(rng: np.random.Generator, bad: list[Block], good: list[Block]) -> Block
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Labeller | None:
-    got = pages.select("page_id", "html").filter(F.length("html").between(1, sample_chars)).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    got = hashed_sample(pages.select("page_id", "html").filter(F.length("html").between(1, sample_chars)), "page_id", sample, pages.count()).collect()
     read = [b for b in (blocks(r.html) for r in sorted(got, key=lambda r: (r.page_id is None, r.page_id or 0))) if b]
     return Labeller().train(read) if read else None
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import arrow_map, batch, remainder, table
+from undula.llm.common import arrow_map, batch, hashed_sample, remainder, table
 
 FEATURES, SAMPLE, SAMPLE_CHARS = 1 << 14, 4000, 10_000
 ALPHA, BETA, L1, L2, EPOCHS, ROWS = 0.5, 1.0, 0.002, 0.01, 4, 32
@@ -111,8 +111,8 @@ def train(texts: list[str], langs: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    rows = docs.select("doc_id", "text", "lang").filter("lang is not null").filter(F.length("text").between(1, sample_chars)).filter(remainder("doc_id") != 0)
-    got = sorted(map(tuple, rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()))
+    rows = docs.select("doc_id", "text", "lang").filter("lang is not null").filter(remainder("doc_id") != 0)
+    got = sorted(map(tuple, hashed_sample(rows.filter(F.length("text").between(1, sample_chars)), "doc_id", sample, rows.count()).collect()))
     if not got:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 1), np.float32), np.zeros(1), 1.0)
     return train([t for _, t, _ in got], [x for _, _, x in got])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import arrow_map, batch, remainder, table
+from undula.llm.common import arrow_map, batch, hashed_sample, remainder, table
 
 SAMPLE, SAMPLE_CHARS, MIN_SHARE, MIN_TEXTS, MIN_RATIO, STRONG_RATIO, STEMS = 6000, 20_000, 0.02, 6, 8, 60, 200
 #: The grammar's words.
@@ -142,7 +142,8 @@ def learned_stems(texts: list[str], toxic: np.ndarray) -> dict[str, str]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Grammar:
     """The grammar with learned stems and weights, from at most `sample` training rows."""
-    rows = labels.filter("toxic is not null").filter(remainder("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = labels.filter("toxic is not null").filter(remainder("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = hashed_sample(rows, "doc_id", sample, labels.count())
     texts = docs.select("doc_id", "text").filter(F.length("text").between(1, sample_chars)).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
     got = sorted(map(tuple, texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()))
     toxic = np.array([min(1, max(0, int(y))) for _, _, y in got], int)
