@@ -197,6 +197,12 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return W.wav_info(files).select("path", "rate", "channels", "frames", "duration", "subtype", "bit_depth")
 
 
+@query("s4_wav_sizes", f"with {V.CLIPS} select cast(track as varchar) track, 44 + 3 * count(*) bytes from clips group by track")
+def s4(spark: SparkSession, d: str) -> DataFrame:
+    """One 24-bit file per track."""
+    return W.wav_files(V.clips(spark, d), RATE).select("track", F.octet_length("content").cast("long").alias("bytes"))
+
+
 @query("s11_changed_sources", "select cast(doc_id as varchar) path, doc_id % 5 = 0 changed from documents where text is not null")
 def s11(spark: SparkSession, d: str) -> DataFrame:
     """Documents as sources; every fifth was another when its edits were made."""
