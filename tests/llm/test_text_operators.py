@@ -7,12 +7,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from undula.llm import bpe_codec, decontamination, html_text, language_id, pii, quality_rules, secrets, simhash_dedup, token_counts, toxicity
