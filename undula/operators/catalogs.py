@@ -30,8 +30,8 @@ def resolved(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     aliases = catalog.select(F.explode("aliases").alias("name"), "short").groupBy("name").agg(F.min("short").alias("l"))
     both = exact.join(aliases, "name", "left")
     open_ = both.filter("e is null and l is null").select("name")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    pieces = catalog.select("short", F.explode(F.array_distinct(grams(F.col("short")))).alias("gram"))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    pieces = catalog.select("short", F.explode(F.array_distinct(F.concat(*(grams(F.col("short"), n) for n in (1, 2, 3))))).alias("gram"))
     partial = open_.select("name", F.substring("name", 1, 3).alias("gram")).join(pieces, "gram").filter(F.col("short").contains(F.col("name"))).groupBy("name").agg(F.count_distinct("short").alias("n"), F.min("short").alias("p"))
     out = both.join(partial.filter("n = 1").select("name", "p"), "name", "left")
     return out.select("name", F.coalesce("e", "l", "p").alias("short"))
