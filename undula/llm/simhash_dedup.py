@@ -91,7 +91,7 @@ def df_of(like: DataFrame, rows: list, schema: str) -> DataFrame:
 
 
 def links(distinct: DataFrame, radius: int = 3, blocks: int = 5, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b, of distinct fingerprints (column fp) with at most `radius` differing bits; at full keys as many as keep all connected."""
+    """(a, b), a < b, of all distinct fingerprints (column fp) with at most `radius` differing bits."""
     frees = choices(list(range(64)), blocks, radius)
     rows, found = keyed(distinct.select("fp"), frees), []
     while True:
