@@ -223,6 +223,16 @@ def test_base_pii_equals_the_patterns(spark):
     assert "iban" in kinds(7) and kinds(8).count("ssn") == 1 and pii.luhn("4111111111111111") and not pii.mod97("DE00370400440532013000")
 
 
+def test_ibans_before_words_and_context_after_a_span():
+    spans = lambda t: [t[s:e] for _, s, e in pii.further_spans(t)]
+    assert spans("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert spans("GB82 WEST 1234 5698 7654 32 BIC X") == ["GB82 WEST 1234 5698 7654 32"]
+    assert spans("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 2024") == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert spans("NR 12 AB12 DE89370400440532013000") == ["DE89370400440532013000"]
+    assert spans("DE00370400440532013000 BIC") == [] and spans("DE893704004405320130001 X") == []
+    assert spans("here 123-45-6789 is my SSN") == ["123-45-6789"] and spans("here 123-45-6789 is a part") == []
+
+
 def test_grammar_weakens_denied_and_quoted_insults():
     g = toxicity.Grammar()
     assert g.score("You are an idiot") > 0.5 > g.score("You are not an idiot")

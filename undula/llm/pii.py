@@ -2,8 +2,9 @@ r"""Operator 10, personal data: patterns propose spans, validators confirm them,
 
 Base kinds, leftmost and without overlaps within a kind: email; ip, parts at most 255; card, 16 to 19 digits that pass
 Luhn; phone, 8 to 15 digits. Base spans always stay. Further kinds: iban, confirmed by mod 97, and ssn, which needs a
-context word nearby. A span's score starts from its kind's prior, is raised by a validator and by context words within
-CONTEXT characters before it, and lowered by words such as "order" or "version"; further kinds need MIN_SCORE.
+context word nearby. An IBAN has its country's length; of other countries the longest that mod 97 confirms at a word's end
+counts. A span's score starts from its kind's prior, is raised by a validator and by context words within CONTEXT
+characters before it (for a ssn after it, too), and lowered by words before it such as "order" or "version"; further kinds need MIN_SCORE.
 
 Null and empty texts have none; repeated rows give repeated rows. Whole texts are read; runs of digits and of address
 characters are read once, however long, so no text takes time in the square of its length.
@@ -30,6 +31,12 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Characters of an IBAN by country.
+IBAN_LENGTH = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23,
+    IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25,
+    SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
 #: Words before a span that speak for its kind, or against any personal data.
 FOR = {
     "email": ("mail", "contact", "write", "address"), "ip": ("ip", "host", "server", "login", "address"), "card": ("card", "visa", "mastercard", "credit", "payment", "cvv"),
@@ -53,6 +60,21 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost first; what follows an account number after a space is no part of it, and is read again."""
+    out, m = [], IBAN.search(text)
+    while m:
+        ends = [e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or text[e] == " "]
+        length = IBAN_LENGTH.get(m[0][:2])
+        if length:
+            ends = [e for e in ends if e - m.start() - text.count(" ", m.start(), e) == length]
+        end = next((e for e in ends if mod97(text[m.start() : e])), None)
+        if end:
+            out.append((m.start(), end))
+        m = IBAN.search(text, end or m.start() + 2)
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     out, done = [], 0
     at = text.find("@")
@@ -87,18 +109,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, s, e) for k, spans in zip(KINDS, (emails(text), ips, cards, phones), strict=False) for s, e in spans]
 
 
-def score(text: str, kind: str, start: int) -> float:
+def score(text: str, kind: str, start: int, end: int) -> float:
     before = text[max(0, start - CONTEXT) : start].lower()
+    near = before + "\n" + text[end : end + CONTEXT].lower() if kind == "ssn" else before
     value = PRIOR[kind] + 0.1 * (kind in ("card", "iban", "ip"))  # a validator has confirmed these
-    value += 0.2 * any(w in before for w in FOR[kind]) - 0.2 * any(w in before for w in AGAINST)
+    value += 0.2 * any(w in near for w in FOR[kind]) - 0.2 * any(w in before for w in AGAINST)
     return min(1.0, max(0.0, round(value, 3)))
 
 
 def further_spans(text: str) -> list[tuple[str, int, int]]:
-    out = [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+    out = [("iban", *span) for span in ibans(text)]
     if text.count("-") > 1:
         out += [("ssn", *m.span()) for m in SSN.finditer(text)]
-    return [x for x in out if score(text, x[0], x[1]) >= (MIN_SCORE if x[0] == "ssn" else PRIOR["iban"])]
+    return [x for x in out if score(text, *x) >= (MIN_SCORE if x[0] == "ssn" else PRIOR["iban"])]
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -113,7 +136,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 more = own + further_spans(text)
                 base.append([f"{k}:{s}:{e}" for k, s, e in own])
                 every.append([f"{k}:{s}:{e}" for k, s, e in more])
-                scores.append([score(text, k, s) for k, s, _ in more])
+                scores.append([score(text, *x) for x in more])
             strings = pa.list_(pa.string())
             yield batch({"doc_id": (b.column(0), pa.int64()), "base": (base, strings), "spans": (every, strings), "scores": (scores, pa.list_(pa.float64()))})
 
