@@ -92,6 +92,14 @@ def test_near_phrases(spark):
     assert index.report().filter("contaminated").first()["doc_id"] == 1
 
 
+def test_near_matches_find_edits_anywhere(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "alpha x y beta gamma delta epsilon zeta", "zeta alpha", "alpha beta gamma delta epsilon x zeta", "alpha beta q delta epsilon zeta", "alpha beta q delta q zeta", "alpha beta x x x x gamma delta epsilon zeta", None]
+    d = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    near = lambda item: {r["doc_id"] for r in decontamination.Index(d, spark.createDataFrame([(7, item)], "item_id long, text string")).near_matches(3).collect()}
+    assert near("alpha beta gamma delta epsilon zeta") == {2, 4, 5}
+    assert near("alpha beta gamma unheard epsilon zeta") == {1, 2, 4}  # a term that the corpus lacks
+
+
 def test_fingerprints_equal_the_definition(docs, texts):
     for i, r in by_id(simhash_dedup.fingerprints(docs)).items():
         w = re.sub("[A-Z]", lambda m: m[0].lower(), texts[i] or "")

@@ -5,8 +5,8 @@ r"""Operator 2, benchmark decontamination with a distributed positional inverted
 2. Windows: `window` consecutive item words (a shorter item is one window), each distinct one once, with its terms in
    order of their number of postings.
 3. Intersection: postings of a window's rarest term, moved back by its offset, are candidate starts; they are kept if
-   the second rarest term stands at its own offset, and then if all other terms do. Hits are exact phrases. With
-   `slop`, near_matches also finds places where the two rarest terms stand up to `slop` words from their distance.
+   the second rarest term stands at its own offset, and then if all other terms do. Hits are exact phrases. near_matches
+   finds passages whose terms stand within `slop` words of their places, one term of longer windows missing or changed.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z is lower-cased. Null and empty texts have no words and no hits;
 repeated rows give repeated rows; an empty benchmark hits nothing. No posting is capped or left out, and no list of one
@@ -28,6 +28,8 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of (long, long or short string) that a broadcast may have: some 40 MB at most.
 BROADCAST_ROWS = 500_000
 END = "\x00"
+#: Words that a window needs before a term of it may be missing from a near match.
+MISS_LEN = 5
 
 
 def words(text: Column) -> Column:
@@ -55,8 +57,8 @@ class Index:
         spans = self.items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at") + 1, window).alias("w"))
         self.of_item = spans.select("item_id", F.xxhash64(F.array_join("w", " ")).alias("wid")).distinct()
         terms = spans.select(F.xxhash64(F.array_join("w", " ")).alias("wid"), "w").dropDuplicates(["wid"]).select("wid", F.size("w").alias("len"), F.posexplode("w").alias("off", "word"))
-        ranked = terms.withColumn("term", F.xxhash64("word")).join(counts, "term", "left")
-        ranked = ranked.withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("wid"))).filter("least > 0")  # a term nobody uses: no hit
+        self.ranked = terms.withColumn("term", F.xxhash64("word")).join(counts, "term", "left")
+        ranked = self.ranked.withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("wid"))).filter("least > 0")  # a term nobody uses: no hit
         self.windows = stored(ranked.select("wid", "len", "off", "term", F.row_number().over(Window.partitionBy("wid").orderBy("n", "off")).alias("nth")), "windows")
 
     def at(self, nth: int) -> DataFrame:
@@ -74,12 +76,29 @@ class Index:
         whole = asked.join(near, ["term", "row", "pos"]).groupBy("wid", "len", "row", "at").agg(F.count("*").alias("n")).filter("n = len - 2")
         return whole.select("wid", "len", "row", "at").unionByName(both.filter("len <= 2").select("wid", "len", "row", "at"))
 
-    def near_matches(self, slop: int = 3) -> DataFrame:
-        """(doc_id, item_id, at) where a window's two rarest terms stand within `slop` words of their distance, but not at it."""
-        first = self.at(1).filter("len > 1").select("wid", "row", "at", F.explode(F.sequence(F.floor((F.col("at") - slop) / (slop + 1)), F.floor((F.col("at") + slop) / (slop + 1)))).alias("cell"))
-        second = self.at(2).select("wid", "row", F.col("at").alias("at2"), F.floor(F.col("at") / (slop + 1)).alias("cell"))
-        found = first.join(second, ["wid", "row", "cell"]).filter((F.abs(F.col("at") - F.col("at2")) <= slop) & (F.col("at") != F.col("at2")))
-        return found.join(self.ends, "row").join(self.of_item, "wid").select("doc_id", "item_id", F.col("at").cast("long").alias("at")).distinct()
+    def near_matches(self, slop: int = 3, miss: int = 1) -> DataFrame:
+        """(doc_id, item_id, at) where all terms of a window stand within `slop` words of their places, those of an exact hit
+        left out. Of windows of MISS_LEN words or more, `miss` terms may be missing. `at` is the start that a term proposes.
+
+        So two of the miss + 2 rarest terms agree on a start within `slop`; these starts are candidates, and all terms are
+        then looked up around them."""
+        may = F.when(F.col("len") >= MISS_LEN, F.lit(miss)).otherwise(F.lit(0))
+        by_window = Window.partitionBy("wid")
+        seen = self.ranked.filter("n > 0").withColumn("nth", F.row_number().over(by_window.orderBy("n", "off"))).withColumn("n_seen", F.count("*").over(by_window))
+        seen = stored(seen.withColumn("need", F.col("len") - may).filter("len > 1 and n_seen >= need").select("wid", "len", "need", "off", "term", "nth"), "near-windows")
+        rare = small(seen.filter(F.col("nth") <= F.col("len") - F.col("need") + 2))
+        starts = stored(self.postings.join(rare, "term").select("wid", "len", "need", "nth", "row", (F.col("pos") - F.col("off")).alias("at")), "near-starts")
+        cells = F.sequence(F.floor((F.col("at") - slop) / (slop + 1)), F.floor((F.col("at") + slop) / (slop + 1)))
+        first = starts.withColumn("cell", F.explode(cells))
+        second = starts.select("wid", "row", F.col("nth").alias("nth2"), F.col("at").alias("at2"), F.floor(F.col("at") / (slop + 1)).alias("cell"))
+        agreed = first.join(second, ["wid", "row", "cell"]).filter((F.col("nth") != F.col("nth2")) & (F.abs(F.col("at") - F.col("at2")) <= slop))
+        agreed = stored(agreed.select("wid", "need", "row", "at").distinct(), "near-agreed")
+        asked = agreed.join(small(seen.select("wid", "off", "term")), "wid").withColumn("pos", F.explode(F.sequence(F.col("at") + F.col("off") - slop, F.col("at") + F.col("off") + slop)))
+        postings = self.postings.join(small(agreed.select("row").distinct()), "row", "left_semi").filter("term <> 0").select("term", "row", "pos")
+        found = asked.join(postings, ["term", "row", "pos"]).groupBy("wid", "need", "row", "at", "off").agg(F.count("*").alias("places")).groupBy("wid", "need", "row", "at").agg(F.count("*").alias("n")).filter("n >= need")
+        hits = self.exact().select("wid", "row", F.col("at").alias("hit"))
+        other = found.join(hits, (found.wid == hits.wid) & (found.row == hits.row) & (F.abs(found.at - hits.hit) <= slop), "left_anti")
+        return other.join(self.ends, "row").join(small(self.of_item), "wid").select("doc_id", "item_id", F.col("at").cast("long").alias("at")).distinct()
 
     def report(self) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document row."""
@@ -95,6 +114,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Index(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).report()
 
 
+def op2_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near: the places of near matches of every document that has any."""
+    index = Index(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return index.near_matches().groupBy("doc_id").agg(F.countDistinct("at").alias("n_near"), F.countDistinct("item_id").alias("n_items"))
+
+
 ORACLE = r"""
 with dw as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
 iw as (select cast(item_id as varchar) item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
