@@ -5,16 +5,21 @@ from __future__ import annotations
 import atexit
 import contextlib
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts are long, so batches are short: a Python worker holds one batch at a time.
 BATCH_ROWS = 256
+#: A key with more of all rows than this is not dealt to one task.
+HOT_SHARE = 0.002
+#: Tasks that the rows of such a key are dealt to.
+PARTS = 32
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -23,8 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/undula"
+    """The folder that driver and executors share, from spark.checkpoint.dir. Without it only a local session, whose one machine shares all, gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +79,48 @@ def hashed_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(n)
 
 
+def class_sample(df: DataFrame, key: str, label: str, n: int) -> DataFrame:
+    """At most n rows of df, about as many of each label, those with the least hashes of `key`, to fit a model on; column
+    label_rows has the label's rows in df.
+
+    A bound on the hash, from the label's own count, leaves about twice the rows wanted; only these are ranked."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("label_rows"))
+    each = max(1, n // max(1, sizes.count()))
+    share = (F.xxhash64(key).cast("double") / float(1 << 64) + 0.5) * F.col("label_rows")
+    few = df.join(sizes.withColumnRenamed(label, "_label"), F.col(label) == F.col("_label")).drop("_label").filter(share < 2 * each + 20)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
+    return few.withColumn("_rank", rank).filter(F.col("_rank") <= each).drop("_rank").orderBy(F.xxhash64(key), key).limit(n)
+
+
+def spread_join(rows: DataFrame, names: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined by `key` with names, which has a row for each key and in column n how many rows have it.
+
+    Keys with a HOT_SHARE of all rows or more are fewer than 1 / HOT_SHARE, so they are broadcast and their rows stay where
+    they are; all other keys are dealt as usual."""
+    total = names.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(names.filter(F.col(n) > HOT_SHARE * total).drop(n))
+    rest = names.filter(F.col(n) <= HOT_SHARE * total).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def dealt_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, hot: DataFrame | None = None, parts: int = PARTS) -> DataFrame:
+    """rows joined by `keys` with few, too large to broadcast: rows of a key in hot (of all keys without it) are dealt over
+    `parts` tasks by their column `by`, and that key's rows of few go to each of them. hot has fewer than 1 / HOT_SHARE keys."""
+    part, every = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"), F.sequence(F.lit(0), F.lit(parts - 1))
+    if hot is not None:
+        known = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+        rows, few = rows.join(known, keys, "left"), few.join(known, keys, "left")
+        part, every = F.when(F.col("_hot"), part).otherwise(0), F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_part", part).join(few.withColumn("_part", F.explode(every)), [*keys, "_part"]).drop("_part", "_hot")
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that have more than HOT_SHARE of these rows."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    return n.filter(F.col("n") > HOT_SHARE * total).select(key)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is. ASCII texts, where lower() does just that, take the fast way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
