@@ -3,10 +3,11 @@ r"""Operator 5, language identification by sparse multinomial logistic regressio
 Letters of a text, lower-cased, other characters as one space, give n-grams of 1 to 3 characters, hashed to FEATURES columns;
 a value is log(1 + count) times the column's inverse document frequency, rows have length 1. The regression is trained
 with follow-the-regularised-leader (per-coordinate rates, elastic net: L1 makes columns exactly zero, L2 shrinks), then a
-temperature is fitted on a fifth of the training rows that the weights did not see.
+temperature is fitted by a line search on a fifth of the training rows that the weights did not see.
 
-Training rows: text and lang not null, crc32(doc_id as text) mod 5 not 0; at most SAMPLE of them, those with the least
-hashes of doc_id, whose texts have at most SAMPLE_CHARS characters; so the driver's work is bounded. Prediction reads
+Training rows: text and lang not null, crc32(doc_id as text) mod 5 not 0; at most SAMPLE of them, an equal number of each
+language, those with the least hashes of doc_id, whose texts have at most SAMPLE_CHARS characters; so the driver's work
+is bounded and a rare language keeps its share however large the corpus. Prediction reads
 every whole text. A null text or one without a letter is `und` with score 0; without training rows all are.
 Repeated rows give repeated rows.
 """
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import arrow_map, batch, hashed_sample, remainder, table
+from undula.llm.common import arrow_map, batch, class_sample, remainder, table
 
 FEATURES, SAMPLE, SAMPLE_CHARS = 1 << 14, 4000, 10_000
 ALPHA, BETA, L1, L2, EPOCHS, ROWS = 0.5, 1.0, 0.002, 0.01, 4, 32
@@ -105,14 +106,36 @@ def train(texts: list[str], langs: list[str]) -> Model:
             n += g * g
             w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     logits = np.concatenate([dense(part) @ w for part in np.array_split(calib, max(1, len(calib) // ROWS))])
-    grid = np.geomspace(0.02, 5, 60)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(calib)), y[calib]], 1e-12)).mean() for t in grid]
-    return Model(names, idf, w[:-1].astype(np.float32), w[-1], float(grid[int(np.argmin(loss))]))
+    return Model(names, idf, w[:-1].astype(np.float32), w[-1], temperature(logits, y[calib]))
+
+
+def temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature with the least log loss, by golden-section search over the logarithm.
+
+    The true class counts as (n + 1) / (n + 2) of a row, the others share the rest, as after one more row of each outcome:
+    so rows that are all predicted rightly don't ask for certainty, and the minimum lies inside the range."""
+    n, k = logits.shape
+    if k < 2:
+        return 1.0
+    target = np.full((n, k), 1 / (n + 2) / (k - 1))
+    target[np.arange(n), y] = (n + 1) / (n + 2)
+    spread = max(float(np.ptp(logits, axis=1).mean()), 1e-9)
+
+    def loss(log_t: float) -> float:
+        z = logits / (spread * np.exp(log_t))
+        z = z - z.max(1, keepdims=True)
+        return float((target * (np.log(np.exp(z).sum(1, keepdims=True)) - z)).sum(1).mean())
+
+    lo, hi, ratio = -12.0, 12.0, (np.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+        lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
+    return spread * float(np.exp((lo + hi) / 2))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    rows = docs.select("doc_id", "text", "lang").filter("lang is not null").filter(remainder("doc_id") != 0)
-    got = sorted(map(tuple, hashed_sample(rows.filter(F.length("text").between(1, sample_chars)), "doc_id", sample, rows.count()).collect()))
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null").filter(remainder("doc_id") != 0).filter(F.length("text").between(1, sample_chars))
+    got = sorted(map(tuple, class_sample(rows, "doc_id", "lang", sample).select("doc_id", "text", "lang").collect()), key=lambda r: (r[0] is None, r))
     if not got:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 1), np.float32), np.zeros(1), 1.0)
     return train([t for _, t, _ in got], [x for _, _, x in got])
