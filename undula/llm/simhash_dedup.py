@@ -3,16 +3,21 @@ r"""Operator 6, SimHash near-duplicates: shingle fingerprints, exact linking wit
 Fingerprints: whole texts, A-Z lower-cased, words `[^\x20\x09-\x0D]+`, shingles of `words` words with repeats, XXH64 with
 seed 42; a bit is 1 if over half of the shingles' hashes have it. No words: fingerprint zero, linked like any other.
 
-Linking at `radius` or fewer differing bits, over distinct fingerprints:
-- Keys. The bits are cut in blocks; a pair within the radius agrees on all but `radius` blocks, so it shares the key of
-  one choice of blocks at least. Nothing within the radius is missed.
-- Pivot distance table. Each fingerprint's Hamming distances to reference fingerprints are precomputed; a pair whose
-  largest coordinate difference exceeds the radius cannot be within it (triangle inequality) and is discarded; the
-  survivors are verified by their differing bits.
-- Full keys. Keys shared by over HOT distinct fingerprints are counted before any row is dealt by them; their rows get
-  finer keys instead, by the same rule on the bits that the key leaves free, until 5 bits are free, which 32 values fill.
-  So no pair is lost and none of these groups meets in one task.
-Components by repeated least-neighbour labels with pointer jumping, each round written in the shared folder.
+Linking at `radius` or fewer differing bits, over distinct fingerprints, by a pivot distance table:
+- References. BLOCK_BITS bits a reference: zero, and for each block of bits the fingerprint with just these set; besides
+  them PIVOTS spread ones, hashes of the numbers from 0. The table holds each fingerprint's Hamming distances to all of
+  them. Half of (distance to zero - distance to a block's reference + its bits) is the number of bits set in that block;
+  these 32 coordinates of 0 to 2 are kept packed in one long.
+- Cells propose the pairs. Blocks don't overlap, so by the triangle inequality the block coordinates of two fingerprints
+  differ by no more in sum than their bits: at most `radius` coordinates differ. The coordinates are cut in GROUPS groups;
+  a pair within the radius agrees in all but `radius` groups, so it shares the cell of one choice of groups at least.
+- A proposed pair is discarded if any coordinate differs by more than the radius, survivors are verified by their bits.
+- Full cells. Cells of over HOT fingerprints are counted before any row is dealt by them. Their fingerprints get the finer
+  references of one bit each, whose coordinates are the bits: cells of these agree in all but a choice of blocks of bits,
+  and full ones are refined by the same rule on the bits that the cell leaves free, until 5 bits are free, which 32 values
+  fill. So no pair is lost and no full cell meets in one task.
+Components by repeated least-neighbour labels with pointer jumping, each round written in the shared folder. Fingerprints
+and components of many rows are not dealt to one task (common.spread_join).
 
 Null texts are empty ones. Repeated rows give repeated rows, in one component. Nothing is collected on the driver.
 """
@@ -30,11 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import arrow_map, batch, stored, table
+from undula.llm.common import arrow_map, batch, spread_join, stored, table
 
 SEED = 42
-PIVOTS = 8
-HOT = 256
+PIVOTS, GROUPS, HOT = 16, 5, 256
+#: Every second bit: where blocks of two bits, and their packed coordinates, begin.
+LOW_BITS = 0x5555555555555555
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -90,31 +96,63 @@ def df_of(like: DataFrame, rows: list, schema: str) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, schema)
 
 
-def links(distinct: DataFrame, radius: int = 3, blocks: int = 5, hot: int = HOT) -> DataFrame:
+def tabled(df: DataFrame) -> DataFrame:
+    """df with the pivot distance table of fp: `blocks`, the packed block coordinates, and the distances d0, d1, ... to the spread references."""
+    low, fp, odd = F.lit(LOW_BITS), F.col("fp"), F.shiftrightunsigned("fp", 1)
+    blocks = fp.bitwiseXOR(odd).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(odd).bitwiseAND(low), 1))  # of both bits of a block, their sum
+    distances = (bit_distance(F.col("fp"), F.lit(p)).cast("tinyint").alias(f"d{i}") for i, p in enumerate(pivots(PIVOTS)))
+    return df.select("*", blocks.alias("blocks"), *distances)
+
+
+def near(radius: int) -> Column:
+    """Of two tables a and b: no coordinate differs by more than the radius, and neither do the bits."""
+    within = reduce(and_, (F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) <= radius for i in range(PIVOTS)))
+    return within & (bit_distance(F.col("a.fp"), F.col("b.fp")) <= radius)
+
+
+def pairs_in(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a < b, of the fingerprints that share (mask, key) and survive."""
+    rows = rows.repartition("mask", "key")
+    a, b = rows.alias("a"), rows.alias("b")
+    same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    return a.join(b.hint("merge"), same & near(radius)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def full_keys(rows: DataFrame, hot: int) -> DataFrame | None:
+    full = stored(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("mask", "key"), "full-keys")
+    return None if full.isEmpty() else full
+
+
+def links(distinct: DataFrame, radius: int = 3, groups: int = GROUPS, hot: int = HOT) -> DataFrame:
     """(a, b), a < b, of all distinct fingerprints (column fp) with at most `radius` differing bits."""
-    frees = choices(list(range(64)), blocks, radius)
-    rows, found = keyed(distinct.select("fp"), frees), []
+    table = tabled(distinct.select("fp"))
+    kept = [[2 * k for k in range(32) if k not in left] for left in choices(list(range(32)), groups, radius)]
+    masks = F.array(*(F.lit(signed(sum(3 << at for at in places))) for places in kept))
+    rows = table.withColumn("mask", F.explode(masks)).withColumn("key", F.col("blocks").bitwiseAND(F.col("mask")))
+    full = full_keys(rows, hot)
+    if full is None:
+        return pairs_in(rows, radius).distinct()
+    warm = stored(rows.join(full, ["mask", "key"], "left_semi").select("fp").distinct(), "full-cells")
+    return pairs_in(rows.join(full, ["mask", "key"], "left_anti"), radius).unionByName(finer_links(warm, radius, hot)).distinct()
+
+
+def finer_links(distinct: DataFrame, radius: int, hot: int) -> DataFrame:
+    """The same over references of one bit each, with no cell of over `hot` fingerprints that could be cut further."""
+    frees = choices(list(range(64)), radius + 2, radius)
+    rows, found = keyed(tabled(distinct), frees), []
+    columns = [c for c in rows.columns if c not in ("mask", "key")]
     while True:
         least = min(map(len, frees))
-        full = None
-        if max(map(len, frees)) > 5:  # else a key leaves 32 values at most
-            full = stored(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("mask", "key"), "full-keys")
-            full = None if full.isEmpty() else full
-        cool = rows.join(full, ["mask", "key"], "left_anti") if full else rows
-        tabled = cool.repartition("mask", "key").select("mask", "key", "fp", *(bit_distance(F.col("fp"), F.lit(p)).alias(f"d{i}") for i, p in enumerate(pivots(PIVOTS))))
-        a, b = tabled.alias("a"), tabled.alias("b")
-        near = reduce(and_, (F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) <= radius for i in range(PIVOTS)))
-        same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-        found.append(a.join(b.hint("merge"), same & near & (bit_distance(F.col("a.fp"), F.col("b.fp")) <= radius)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
+        full = full_keys(rows, hot) if max(map(len, frees)) > 5 else None  # else a key leaves 32 values at most
+        found.append(pairs_in(rows.join(full, ["mask", "key"], "left_anti") if full else rows, radius))
         if full is None:
-            break
+            return reduce(DataFrame.unionByName, found)
         warm = stored(rows.join(full, ["mask", "key"], "left_semi"), "full-rows")
         finer = {signed(sum(1 << x for x in free)): choices(free, radius + 3 if least > 6 else len(free), radius) for free in frees}
         listed = [(mask, [signed(sum(1 << x for x in free)) for free in below]) for mask, below in finer.items()]  # a row for each choice of blocks
         masks = df_of(distinct, listed, "mask long, masks array<long>")
-        rows = warm.join(F.broadcast(masks), "mask").select("fp", F.explode("masks").alias("mask")).distinct().withColumn("key", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
+        rows = warm.join(F.broadcast(masks), "mask").select(*columns, F.explode("masks").alias("mask")).distinct().withColumn("key", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
         frees = [free for below in finer.values() for free in below]
-    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,8 +162,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         heard = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
         best = label.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
-        jump = label.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        new = stored(best.join(jump, "root", "left").select("node", "was", F.least("root", "beyond").alias("root")), "roots")
+        best = stored(best, "best")
+        sizes = best.groupBy("root").agg(F.count("*").alias("n"))
+        jump = sizes.join(label.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root", "left")
+        new = stored(spread_join(best, jump, "root").select("node", "was", F.least("root", "beyond").alias("root")), "roots")
         label = new.select("node", "root")
         if new.filter("root < was").isEmpty():
             return label
@@ -134,12 +174,12 @@ def components(edges: DataFrame) -> DataFrame:
 def dedup_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable, itself included) of every document row."""
     prints = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(distinct, radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_print = stored(named.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    named = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "doc_id", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    of_print = stored(spread_join(named, least, "root").select("fp", F.col("rows").alias("n"), "component_id"), "components")
+    return spread_join(prints, of_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
