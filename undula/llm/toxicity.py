@@ -1,16 +1,23 @@
 r"""Operator 3, toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, quote, other; clause ends reset). Five small transducers
-read them in a cascade: target marks what is addressed at someone, threat joins an intention with a harmful act,
-negation and reported speech weaken what follows, insult turns a marked insult into a match. Their composition is built
-lazily as one deterministic machine over tuples of states. A document's score is a logistic function of its matched
-clauses, by type of match, so an insult that is denied or quoted weighs less than one thrown at somebody.
+Words become symbols (insult, hint, threat, intent, target, negation, report, quotation signs, clause ends, other). Five
+weighted transducers, tables of arcs (symbol: next state, output, weight), read them one after the other:
+- target: an insult within reach after a word that addresses somebody comes out as aimed;
+- threat: a harmful act within reach after an intention comes out as menace, any other as an ordinary word;
+- negation: what it reaches comes out as denied;
+- report: what follows a verb of reporting, or stands inside quotation signs, comes out as quoted. A closing sign and the
+  end of the clause end both;
+- insult: turns what is left into matches; a lone insult is a weak one, unless a target follows within reach.
+`composed` makes one deterministic machine of them, whose weights are the sums along the arcs. A document's score is a
+logistic function of its matches' weights by type, so an insult that is denied or quoted weighs less than a lone one and a
+lone one less than one thrown at somebody.
 
 Learned from labels, held-out rows never used: stems (word beginnings, so inflected forms count) that stand in at least
 MIN_SHARE of the toxic training texts and much more rarely in others, added to the insult transducer as strong insults or,
 where clean texts have them at times, as hints, which weigh by repetition; and the weights of the match types, kept near
-the grammar's own by a Gaussian prior. Training uses at most SAMPLE labelled rows, those with the least hashes of doc_id,
-whose texts have at most SAMPLE_CHARS characters; copies of a text count once for the stems.
+the grammar's own by a Gaussian prior. Training uses at most SAMPLE labelled rows, as many of each
+label, those with the least hashes of doc_id, whose texts have at most SAMPLE_CHARS characters, each weighing as the rows
+it stands for; copies of a text count once for the stems.
 
 Null, empty and wordless texts score as a text without matches. Without labels the grammar's own weights hold. Repeated
 rows give repeated rows; a document that is labelled twice counts once. Whole texts are read.
@@ -22,14 +29,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import arrow_map, batch, hashed_sample, remainder, table
+from undula.llm.common import arrow_map, batch, class_sample, remainder, stored, table
 
 SAMPLE, SAMPLE_CHARS, MIN_SHARE, MIN_TEXTS, MIN_RATIO, STRONG_RATIO, STEMS = 6000, 20_000, 0.02, 6, 8, 60, 200
 #: The grammar's words.
@@ -42,45 +49,92 @@ WORDS = {
     "report": "said says wrote writes called calls claimed quoted told alleged sagte schrieb dijo dit",
 }
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n\"“”]")
-TYPES = ("insult", "aimed", "denied", "quoted", "threat", "hint")
-#: The grammar's own weights: of each type's matches, of repeated hints and hints in 100 words, and the score's offset.
-PRIOR, OFFSET = np.array([5.0, 6.0, 0.5, 0.5, 6.0, 0.5, 1.0, 0.5]), -3.0
-REACH = 3  # words over which a negation, target or intention carries
+TYPES = ("insult", "aimed", "denied", "quoted", "menace", "hint")
+MATCHES = frozenset(TYPES)
+SYMBOLS = ("other", "end", "open", "close", "sign", *WORDS, "hint")
+#: How far each type's weight counts, of repeated hints and hints in 100 words, and the score's offset, before anything is learned.
+PRIOR, OFFSET = np.array([1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.5]), -3.0
+REACH = 3  # words over which a negation or an intention carries; a target carries two more
+
+Arcs = dict[object, dict[str, tuple[object, str, float]]]  # state: symbol: (next state, output, weight); * is any other symbol, passed on
+
+
+def reaching(source: str, words: int, turned: dict[str, str], weight: float, else_: dict[str, str] | None = None) -> Arcs:
+    """States 0 to `words`: over how many more words `source` carries. There, symbols in `turned` are replaced, at that weight; out of reach those in `else_` are."""
+    out: Arcs = {}
+    for left in range(words + 1):
+        arcs = {x: (max(0, left - 1), y, weight if left else 0.0) for x, y in (turned if left else else_ or {}).items()}
+        out[left] = arcs | {source: (words, source, 0.0), "end": (0, "end", 0.0), "*": (max(0, left - 1), "", 0.0)}
+    return out
+
+
+def reporting(weight: float) -> Arcs:
+    marked = {x: "quoted" for x in ("insult", "aimed", "menace")} | {"hint": "other"}
+    inside = lambda state: {x: (state, y, weight) for x, y in marked.items()}
+    signs = {"open": ("quote", "other", 0.0), "close": ("plain", "other", 0.0), "end": ("plain", "end", 0.0)}
+    return {
+        "plain": signs | {"report": ("told", "other", 0.0), "sign": ("quote", "other", 0.0), "*": ("plain", "", 0.0)},
+        "told": signs | inside("told") | {"sign": ("quote", "other", 0.0), "*": ("told", "", 0.0)},
+        "quote": signs | inside("quote") | {"sign": ("plain", "other", 0.0), "*": ("quote", "", 0.0)},
+    }
+
+
+def matching(words: int) -> Arcs:
+    """States 0 to `words`: over how many more words a lone insult may still find its target."""
+    own = {"aimed": 5.0, "denied": 4.0, "quoted": 4.0, "menace": 5.0, "hint": 0.5}
+    out: Arcs = {}
+    for left in range(words + 1):
+        on = max(0, left - 1)
+        out[left] = {t: (on, t, w) for t, w in own.items()} | {"insult": (words, "insult", 2.0), "target": (0, "aimed", 5.0) if left else (0, "none", 0.0), "end": (0, "none", 0.0), "*": (on, "none", 0.0)}
+    return out
+
+
+TRANSDUCERS: dict[str, Arcs] = {
+    "target": reaching("target", REACH + 2, {"insult": "aimed"}, 1.0),
+    "threat": reaching("intent", REACH, {"threat": "menace"}, 1.0, {"threat": "other"}),
+    "negation": reaching("negation", REACH, {"insult": "denied", "aimed": "denied", "menace": "denied", "hint": "other"}, -4.5),
+    "report": reporting(-4.5),
+    "insult": matching(REACH),
+}
+
+
+def taken(arcs: Arcs, state: object, symbol: str) -> tuple[object, str, float]:
+    after, out, weight = arcs[state].get(symbol) or arcs[state]["*"]
+    return after, out or symbol, weight
+
+
+def composed(first: Arcs, second: Arcs) -> Arcs:
+    """One transducer that reads as `first` and hands what it puts out to `second`; states are the pairs that can be reached, weights add up."""
+    out: Arcs = {}
+    waiting = [(next(iter(first)), next(iter(second)))]
+    while waiting:
+        p, q = pair = waiting.pop()
+        if pair in out:
+            continue
+        out[pair] = {}
+        for symbol in SYMBOLS:
+            p_next, given, w = taken(first, p, symbol)
+            q_next, shown, v = taken(second, q, given)
+            out[pair][symbol] = ((p_next, q_next), shown, w + v)
+            waiting.append((p_next, q_next))
+    return out
 
 
 @cache
-def step(state: tuple[int, int, int, int, int], symbol: str) -> tuple[tuple[int, int, int, int, int], str]:
-    """The composed machine. States: words since a target, an intention and a negation (0: none in reach), report and quote."""
-    target, intent, negation, report, quote = state
-    if symbol == "end":
-        return (0, 0, 0, 0, quote), ""
-    if symbol == "quote":
-        return (target, intent, negation, report, 1 - quote), ""
-    out = ""
-    if symbol == "insult":
-        out = "denied" if negation else "quoted" if report or quote else "aimed" if target else "insult"
-    elif symbol == "hint":
-        out = "" if negation or report or quote else "hint"
-    elif symbol == "threat" and intent:
-        out = "denied" if negation else "quoted" if report else "threat"
-    age = lambda n: n - 1 if n else 0
-    new = (
-        REACH + 2 if symbol == "target" else age(target),
-        REACH if symbol == "intent" else age(intent),
-        REACH if symbol == "negation" else age(negation),
-        1 if symbol == "report" else report,
-        quote,
-    )
-    return new, out
+def machine(parts: tuple[str, ...] = tuple(TRANSDUCERS)) -> list[dict[str, tuple[int, str, float]]]:
+    """The composition of these transducers, states numbered from the start on."""
+    arcs = reduce(composed, (TRANSDUCERS[p] for p in parts))
+    number = {state: i for i, state in enumerate(arcs)}
+    return [{x: (number[after], out, w) for x, (after, out, w) in own.items()} for own in arcs.values()]
 
 
 class Grammar:
     """Fixed words and learned stems (stem: insult or hint), weights by type, offset."""
 
-    def __init__(self, stems: dict[str, str] | None = None, weights: np.ndarray = PRIOR, offset: float = OFFSET):
-        self.stems, self.weights, self.offset = stems or {}, weights, offset
+    def __init__(self, stems: dict[str, str] | None = None, weights: np.ndarray = PRIOR, offset: float = OFFSET, parts: tuple[str, ...] = tuple(TRANSDUCERS)):
+        self.stems, self.weights, self.offset, self.machine = stems or {}, weights, offset, machine(parts)
         self.symbol = {w: kind for kind, words in WORDS.items() for w in words.split()}
-        self.symbol |= {c: "end" for c in ".!?;\n"} | {c: "quote" for c in '"“”'}
+        self.symbol |= {c: "end" for c in ".!?;\n"} | {'"': "sign", "“": "open", "”": "close"}
         self.heads = {w[:3] for w, k in self.symbol.items() if k in ("insult", "threat")} | {x[:3] for x in self.stems}
         self.sizes = sorted({len(x) for x in self.stems})
 
@@ -89,27 +143,27 @@ class Grammar:
             return known or "other"
         return next((k for n in self.sizes if (k := self.stems.get(word[:n]))), "other")
 
-    def matches(self, words: list[str]) -> list[tuple[int, str]]:
-        """(place, type) of every match in a text's words and signs."""
+    def matches(self, words: list[str]) -> list[tuple[int, str, float]]:
+        """(place, type, weight) of every match in a text's words and signs."""
         heads, symbol, read = self.heads, self.symbol, self.read
         if not any(w[:3] in heads for w in words):
             return []
-        state, out = (0, 0, 0, 0, 0), []
+        state, out = self.machine[0], []
         for i, w in enumerate(words):
-            state, match = step(state, symbol.get(w) or (read(w) if w[:3] in heads else "other"))
-            if match:
-                out.append((i, match))
+            after, match, weight = state[symbol.get(w) or (read(w) if w[:3] in heads else "other")]
+            state = self.machine[after]
+            if match in MATCHES:
+                out.append((i, match, weight))
         return out
 
     def features(self, text: str) -> np.ndarray:
+        """By type, the mean weight of its matches times log(1 + their number); repeated hints; hints in 100 words."""
         words = TOKEN.findall(text.lower())
-        x = np.zeros(len(PRIOR))
-        for _, kind in self.matches(words):
-            x[TYPES.index(kind)] += 1
-        hints = x[5]
-        x[:6] = np.log1p(x[:6])
-        x[6], x[7] = hints >= 2, np.log1p(100 * hints / max(len(words), 1))
-        return x
+        n, total = np.zeros(len(TYPES)), np.zeros(len(TYPES))
+        for _, kind, weight in self.matches(words):
+            n[TYPES.index(kind)] += 1
+            total[TYPES.index(kind)] += weight
+        return np.r_[total / np.maximum(n, 1) * np.log1p(n), n[-1] >= 2, np.log1p(100 * n[-1] / max(len(words), 1))]
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.offset + self.features(text) @ self.weights, -30, 30))))
@@ -142,25 +196,30 @@ def learned_stems(texts: list[str], toxic: np.ndarray) -> dict[str, str]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Grammar:
     """The grammar with learned stems and weights, from at most `sample` training rows."""
-    rows = labels.filter("toxic is not null").filter(remainder("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = hashed_sample(rows, "doc_id", sample, labels.count())
-    texts = docs.select("doc_id", "text").filter(F.length("text").between(1, sample_chars)).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
+    rows = labels.filter("toxic is not null").filter(remainder("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    read = docs.select("doc_id", "text").filter(F.length("text").between(1, sample_chars))
+    usable = stored(rows.join(read.select("doc_id"), "doc_id", "left_semi").withColumn("toxic", F.greatest(F.lit(0), F.least(F.lit(1), "toxic"))), "labelled")
+    few = class_sample(usable, "doc_id", "toxic", sample).select("doc_id", "toxic", "label_rows")
+    texts = read.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic", "label_rows")
     got = sorted(map(tuple, texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()))
-    toxic = np.array([min(1, max(0, int(y))) for _, _, y in got], int)
+    toxic = np.array([y for _, _, y, _ in got], int)
     if not len(got) or toxic.min() == toxic.max():
         return Grammar()
+    texts, shares = [t for _, t, _, _ in got], {y: n for _, _, y, n in got}
+    each = np.array([shares[y] / (toxic == y).sum() for y in toxic])  # rows that a sampled one stands for
+    each *= len(each) / each.sum()
     # stems come from one half and weights from the other, so that the weights see how stems do on new texts; then the
     # stems of all rows are used
     half = np.arange(len(got)) % 2 == 0
-    grammar = Grammar(learned_stems([t for (_, t, _), h in zip(got, half, strict=True) if h], toxic[half]))
-    x = np.array([[*grammar.features(t), 1.0] for (_, t, _), h in zip(got, half, strict=True) if not h])
-    y, prior = toxic[~half], np.r_[PRIOR, OFFSET]
+    grammar = Grammar(learned_stems([t for t, h in zip(texts, half, strict=True) if h], toxic[half]))
+    x = np.array([[*grammar.features(t), 1.0] for t, h in zip(texts, half, strict=True) if not h])
+    y, prior, rows_of = toxic[~half], np.r_[PRIOR, OFFSET], each[~half]
     w = prior.copy()
     for _ in range(30):  # Newton's method for the posterior's mode
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + (w - prior)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), slope)
-    return Grammar(learned_stems([t for _, t, _ in got], toxic), w[:-1], float(w[-1]))
+        slope = x.T @ (rows_of * (p - y)) + (w - prior)
+        w = w - np.linalg.solve((x * (rows_of * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), slope)
+    return Grammar(learned_stems(texts, toxic), w[:-1], float(w[-1]))
 
 
 def toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
