@@ -13,7 +13,7 @@ repeated rows give repeated rows; an empty benchmark hits nothing. No posting is
 term meets in one task: postings are dealt by (row, position), and counts are summed before they are dealt.
 
 What is broadcast: the benchmark's distinct words, and its windows, only up to BROADCAST_ROWS; beyond that the same
-joins are shuffled.
+joins are shuffled, and rows of frequent words, terms and windows are dealt over many tasks (common.dealt_join).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import lower_ascii, stored, table
+from undula.llm.common import HOT_SHARE, dealt_join, hot_keys, lower_ascii, stored, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,6 +41,10 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def fits(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_ROWS
+
+
 class Index:
     """Postings of a corpus for the terms of a benchmark, and the benchmark's windows."""
 
@@ -50,9 +54,11 @@ class Index:
         vocabulary = stored(vocabulary.unionByName(docs.sparkSession.createDataFrame([(END, 0)], "word string, term long")), "terms")
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
         placed = numbered.select("row", "doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"))
-        self.postings = stored(placed.join(small(vocabulary), "word").select("term", "row", "pos", F.when(F.col("word") == END, F.col("doc_id")).alias("doc_id")), "postings")
+        met = placed.join(F.broadcast(vocabulary), "word") if fits(vocabulary) else dealt_join(placed, vocabulary, ["word"], "row")
+        self.postings = stored(met.select("term", "row", "pos", F.when(F.col("word") == END, F.col("doc_id")).alias("doc_id")), "postings")
         self.ends = self.postings.filter("term = 0").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
-        counts = self.postings.filter("term <> 0").groupBy("term").agg(F.count("*").alias("n"))
+        counts = stored(self.postings.filter("term <> 0").groupBy("term").agg(F.count("*").alias("n")), "counts")
+        self.counts = counts
         starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
         spans = self.items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at") + 1, window).alias("w"))
         self.of_item = spans.select("item_id", F.xxhash64(F.array_join("w", " ")).alias("wid")).distinct()
@@ -63,7 +69,18 @@ class Index:
 
     def at(self, nth: int) -> DataFrame:
         """Starts that the nth rarest terms of the windows propose: their postings moved back by their offsets."""
-        return self.postings.join(small(self.windows.filter(F.col("nth") == nth)), "term").select("wid", "len", "row", (F.col("pos") - F.col("off")).alias("at"))
+        asked = self.windows.filter(F.col("nth") == nth)
+        if fits(asked):
+            met = self.postings.join(F.broadcast(asked), "term")
+        else:
+            total = self.counts.agg(F.sum("n")).first()[0] or 0
+            met = dealt_join(self.postings, asked, ["term"], "row", self.counts.filter(F.col("n") > HOT_SHARE * total))
+        return met.select("wid", "len", "row", (F.col("pos") - F.col("off")).alias("at"))
+
+    @staticmethod
+    def by_window(starts: DataFrame, of_window: DataFrame) -> DataFrame:
+        """starts joined with rows of windows; a passage that many documents have is no single task's."""
+        return starts.join(F.broadcast(of_window), "wid") if fits(of_window) else dealt_join(starts, of_window, ["wid"], "row", hot_keys(starts, "wid"))
 
     def exact(self) -> DataFrame:
         """(wid, len, row, at) of every occurrence of every window."""
@@ -72,7 +89,7 @@ class Index:
         both = stored(both.select("wid", "len", "row", "at").unionByName(first.filter("len = 1")), "starts")
         rows = both.filter("len > 2").select("row").distinct()
         near = self.postings.join(small(rows), "row", "left_semi").filter("term <> 0").select("term", "row", "pos")
-        asked = both.filter("len > 2").join(self.windows.filter("nth > 2").select("wid", "off", "term"), "wid").select("wid", "len", "row", "at", "term", (F.col("at") + F.col("off")).alias("pos"))
+        asked = self.by_window(both.filter("len > 2"), self.windows.filter("nth > 2").select("wid", "off", "term")).select("wid", "len", "row", "at", "term", (F.col("at") + F.col("off")).alias("pos"))
         whole = asked.join(near, ["term", "row", "pos"]).groupBy("wid", "len", "row", "at").agg(F.count("*").alias("n")).filter("n = len - 2")
         return whole.select("wid", "len", "row", "at").unionByName(both.filter("len <= 2").select("wid", "len", "row", "at"))
 
@@ -104,7 +121,7 @@ class Index:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document row."""
         hits = stored(self.exact(), "hits")
         covered = hits.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-        items = hits.select("row", "wid").distinct().join(small(self.of_item), "wid").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+        items = self.by_window(hits.select("row", "wid").distinct(), self.of_item).groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
         out = self.ends.join(covered, "row", "left").join(items, "row", "left")
         listed = F.coalesce(F.col("items"), F.array().cast("array<string>"))
         return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -8,7 +8,7 @@ host are removed; a document that keeps fewer than `min_words` words or less tha
 
 Repeated rows give repeated rows and count once. A null host is a host of its own. Three-word windows are compared by
 64-bit hashes of their words, within one document. Line counts are summed before they are dealt, the frequent lines are
-broadcast only up to BROADCAST_ROWS and else joined by shuffle, so a line, text or host of a third of all rows meets in
+broadcast only up to BROADCAST_ROWS and else joined by shuffle, dealt over many tasks a line (common.dealt_join), so a line, text or host of a third of all rows meets in
 no single task.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import lower_ascii, stored, table
+from undula.llm.common import dealt_join, lower_ascii, stored, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_DOCS, MIN_WORDS, MIN_SHARE = 100, 50, 0.3
@@ -66,9 +66,9 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORD
     texts = d.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
     counts = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     frequent = stored(counts.filter(F.col("n") > max_docs).select(F.coalesce("host", F.lit("\x00")).alias("host"), "line"), "frequent-lines")
-    frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
     lines = d.select("row", F.coalesce("host", F.lit("\x00")).alias("host"), F.explode("lines").alias("x")).select("row", "host", "x.line", "x.words")
-    lost = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"))
+    met = lines.join(F.broadcast(frequent), ["host", "line"]) if frequent.count() <= BROADCAST_ROWS else dealt_join(lines, frequent, ["host", "line"], "row")
+    lost = met.groupBy("row").agg(F.sum("words").alias("lost"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     out = d.join(lost, "row", "left").withColumn("base_failed", failed).withColumn("kept_words", left)
@@ -79,6 +79,7 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORD
 def without_frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(doc_id, text) of every document row, lines beyond the limit removed from the text."""
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    d = stored(d, "numbered")  # the numbers are joined back, so they are made once
     normal = F.regexp_replace(F.regexp_replace(F.trim(lower_ascii(F.col("part"))), r"[0-9]", "0"), SPACE, " ")
     lines = d.select("row", "doc_id", "host", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("pos", "part")).withColumn("line", F.xxhash64(normal))
     worded = lines.filter(F.col("part").rlike(r"[^\x20\x09-\x0D]"))
