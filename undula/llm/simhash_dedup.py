@@ -39,6 +39,8 @@ from undula.llm.common import arrow_map, batch, spread_join, stored, table
 
 SEED = 42
 PIVOTS, GROUPS, HOT = 16, 5, 256
+#: Rows of two longs that are broadcast: some 40 MB at most.
+LABEL_ROWS = 500_000
 #: Every second bit: where blocks of two bits, and their packed coordinates, begin.
 LOW_BITS = 0x5555555555555555
 
@@ -159,13 +161,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node that can be reached. Rounds grow with the logarithm of a component's length."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     label = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
+    few = label.count() <= LABEL_ROWS
+    near = F.broadcast if few else lambda df: df
     while True:
-        heard = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
+        heard = both.join(near(label.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
         best = label.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
-        best = stored(best, "best")
-        sizes = best.groupBy("root").agg(F.count("*").alias("n"))
-        jump = sizes.join(label.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root", "left")
-        new = stored(spread_join(best, jump, "root").select("node", "was", F.least("root", "beyond").alias("root")), "roots")
+        beyond = label.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+        if few:
+            jumped = best.join(F.broadcast(beyond), "root", "left")
+        else:  # many nodes have one root; a root is a node, so each has its row
+            best = stored(best, "best")
+            jumped = spread_join(best, best.groupBy("root").agg(F.count("*").alias("n")).join(beyond, "root", "left"), "root")
+        new = stored(jumped.select("node", "was", F.least("root", "beyond").alias("root")), "roots")
         label = new.select("node", "root")
         if new.filter("root < was").isEmpty():
             return label
