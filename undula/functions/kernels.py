@@ -7,10 +7,33 @@ import numpy as np
 #: The two K-weighting biquads of BS.1770 at 48 kHz.
 K_B1, K_A1 = np.array([1.53512485958697, -2.69169620938640, 1.19839281085285]), np.array([1.0, -1.69065929318241, 0.73248077421585])
 K_B2, K_A2 = np.array([1.0, -2.0, 1.0]), np.array([1.0, -1.99004745483398, 0.99007225036621])
-#: Samples after which the weighting's impulse response is below 1e-16.
+#: The analog filters behind them (corner, quality; the shelf's gain in dB and the exponent of its midpoint).
+K_SHELF, K_PASS = (1681.974450955533, 0.7071752369554196, 3.999843853973347, 0.4996667741545416), (38.13547087602444, 0.5003270373238773)
+#: Samples at 48 kHz after which the weighting's impulse response is below 1e-16.
 K_TAIL = 8192
 
 
+def k_tail(rate: int) -> int:
+    return int(np.ceil(K_TAIL * rate / 48_000))
+
+
+def k_biquads(rate: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(numerator, denominator) of the two weighting stages at a rate; at 48 kHz the standard's own digits."""
+    return [(K_B1, K_A1), (K_B2, K_A2)] if rate == 48_000 else derived_biquads(rate)
+
+
+def derived_biquads(rate: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The stages from the analog filters. Where the shelf's corner would pass the Nyquist frequency it stands at 0.45 of the rate."""
+    corner, q, gain_db, middle = K_SHELF
+    k, high = np.tan(np.pi * min(corner, 0.45 * rate) / rate), 10 ** (gain_db / 20)
+    mid, low = high**middle, 1 + k / q + k * k
+    shelf = np.array([high + mid * k / q + k * k, 2 * (k * k - high), high - mid * k / q + k * k]) / low, np.array([low, 2 * (k * k - 1), 1 - k / q + k * k]) / low
+    corner, q = K_PASS
+    k = np.tan(np.pi * corner / rate)
+    low = 1 + k / q + k * k
+    return [shelf, (K_B2, np.array([low, 2 * (k * k - 1), 1 - k / q + k * k]) / low)]
+
+
 def framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)[::hop] if len(x) >= size else np.zeros((0, size))
 
@@ -25,17 +48,20 @@ def k_magnitude(freqs: np.ndarray) -> np.ndarray:
     return out
 
 
-def k_response(n: int = K_TAIL) -> np.ndarray:
-    """The weighting's impulse response; its poles lie within 0.99503, so n samples hold it all."""
-    size = 4 * n
-    z = np.exp(-2j * np.pi * np.arange(size // 2 + 1) / size)
+def k_response(rate: int = 48_000) -> np.ndarray:
+    """The weighting's impulse response at a rate; k_tail(rate) samples hold it all."""
+    n = k_tail(rate)
+    z = np.exp(-2j * np.pi * np.arange(2 * n + 1) / (4 * n))
     value = lambda c: c[0] + c[1] * z + c[2] * z * z
-    return np.fft.irfft(value(K_B1) * value(K_B2) / (value(K_A1) * value(K_A2)), size)[:n]
+    out = np.ones(len(z), complex)
+    for above, under in k_biquads(rate):
+        out *= value(above) / value(under)
+    return np.fft.irfft(out, 4 * n)[:n]
 
 
-def k_filtered(x: np.ndarray, halo: int) -> np.ndarray:
-    """x filtered, without the first `halo` samples, which are there for the filter's memory."""
-    h = k_response()
+def k_filtered(x: np.ndarray, halo: int, rate: int = 48_000) -> np.ndarray:
+    """x filtered at its rate, without the first `halo` samples, which are there for the filter's memory."""
+    h = k_response(rate)
     size = 1 << int(np.ceil(np.log2(len(x) + len(h))))
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[halo : len(x)]
 

@@ -12,6 +12,8 @@ from undula.functions.columns import from_db
 from undula.operators.edits import COLUMNS, curve
 from undula.operators.spectral import chunked
 
+#: Weights of left, right, centre and the two surround channels; further ones don't count.
+CHANNEL_WEIGHTS = (1.0, 1.0, 1.0, 1.41, 1.41)
 #: Hops of 100 ms in a gating block, and in a short-term window.
 BLOCK, SHORT = 4, 30
 
@@ -21,23 +23,24 @@ def loud(power: Column) -> Column:
 
 
 def energies(samples: DataFrame, rate: int, weighted: bool = True, hops: int = 100) -> DataFrame:
-    """track, hop, e: mean square in each full 100 ms, summed over the first two channels. K-weighting reads chunks with a halo."""
+    """track, hop, e: mean square in each full 100 ms, summed over the channels by their weights. K-weighting, by the filters of this rate, reads chunks with a halo."""
     step = rate // 10
-    own = samples.filter("channel < 2")
+    own = samples.filter(F.col("channel") < len(CHANNEL_WEIGHTS))
+    by_channel = F.array(*map(F.lit, CHANNEL_WEIGHTS))[F.col("channel")]
     if not weighted:
         d = own.groupBy("track", "channel", F.floor(F.col("i") / step).alias("hop")).agg((F.sum(F.col("x") * F.col("x")) / step).alias("e"), F.count("*").alias("k")).filter(F.col("k") == step)
-        return d.groupBy("track", "hop").agg(F.sum("e").alias("e"))
+        return d.groupBy("track", "hop").agg(F.sum(F.col("e") * by_channel).alias("e"))
 
     def run(xs: pd.Series, before: pd.Series) -> pd.Series:
         out = []
         for x, halo in zip(xs, before, strict=True):
-            y = K.k_filtered(np.asarray(x, float), int(halo))
+            y = K.k_filtered(np.asarray(x, float), int(halo), rate)
             out.append((y[: len(y) // step * step].reshape(-1, step) ** 2).mean(1).tolist())
         return pd.Series(out)
 
-    chunks = chunked(own, step * hops, left=K.K_TAIL)
-    d = chunks.select("track", "start", F.posexplode(F.pandas_udf(run, "array<double>")("xs", "before")).alias("k", "e"))
-    return d.groupBy("track", (F.col("start") / step + F.col("k")).cast("long").alias("hop")).agg(F.sum("e").alias("e"))
+    chunks = chunked(own, step * hops, left=K.k_tail(rate))
+    d = chunks.select("track", "channel", "start", F.posexplode(F.pandas_udf(run, "array<double>")("xs", "before")).alias("k", "e"))
+    return d.groupBy("track", (F.col("start") / step + F.col("k")).cast("long").alias("hop")).agg(F.sum(F.col("e") * by_channel).alias("e"))
 
 
 def windowed(e: DataFrame, n: int, keys: list[str]) -> DataFrame:

@@ -291,12 +291,12 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a22_loudness_report")
 def a22(spark: SparkSession, d: str) -> DataFrame:
-    return L.report(V.reels(spark, d), RATE, 3, weighted=False)
+    return L.report(V.reels(spark, d), RATE, 3)
 
 
 @query("a23_loudness_normalize")
 def a23(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.normalized(V.reels(spark, d), RATE, -14.0, -1.0, weighted=False), 6, "x")
+    return rounded(L.normalized(V.reels(spark, d), RATE, -14.0, -1.0), 6, "x")
 
 
 @query("a24_level_utterances")
@@ -306,13 +306,14 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return rounded(L.level_utterances(s, RATE, segments, min_ms=100.0), 6, "x")
 
 
-def measured(spark: SparkSession, d: str) -> DataFrame:
-    """Everything quality control asks of the reels, loudness unweighted and sample peaks for true peaks."""
+def measured(spark: SparkSession, d: str, weighted: bool = False) -> DataFrame:
+    """Everything quality control asks of the reels; unweighted, SQL can follow: energies as they are and sample peaks for true peaks."""
     s = V.reels(spark, d)
     dc = E.dc_offset(s).groupBy("track").agg(F.round(F.max(F.abs("dc")), 6).alias("dc"))
-    e = energy(spark, d)
+    e = L.energies(s, RATE, weighted)
+    peak = L.true_peak(s).select("track", F.round("true_peak_db", 2).alias("true_peak")) if weighted else L.sample_peak(s).select("track", F.round("peak_db", 2).alias("true_peak"))
     parts = [
-        rounded(L.integrated(e), 2, "lufs"), rounded(L.loudness_range(L.short_term(e, 3)), 2, "lra"), L.sample_peak(s).select("track", F.round("peak_db", 2).alias("true_peak")), M.clipping(s, 0.4).select("track", "clipped"), dc,
+        rounded(L.integrated(e), 2, "lufs"), rounded(L.loudness_range(L.short_term(e, 3)), 2, "lra"), peak, M.clipping(s, 0.4).select("track", "clipped"), dc,
         M.clicks(s, RATE, 6.0, 50.0, 5.0).select("track", F.col("n_clicks").cast("long").alias("n_clicks")), M.correlation(s, 256).select("track", F.round("negative_pct", 2).alias("phase_negative_pct")), rounded(M.imbalance(s), 2, "imbalance_db"),
         M.head_tail_silence(s, RATE).select("track", "head_ms", "tail_sec"),
     ]
@@ -356,3 +357,14 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
 @query("a25_quality_control", f"with recursive {MEASURED} select track, target, count(*) filter (c.status = 'PASS') n_pass, count(*) filter (c.status = 'WARN') n_warn, count(*) filter (c.status = 'FAIL') n_fail, case when count(*) filter (c.status = 'FAIL') > 0 then 'FAIL' when count(*) filter (c.status = 'WARN') > 0 then 'WARN' else 'PASS' end verdict from ck where c.ok group by track, target")
 def a25(spark: SparkSession, d: str) -> DataFrame:
     return Q.verdicts(Q.checks(measured(spark, d)))
+
+
+@query("a17_integrated_weighted")
+def a17_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.integrated(L.energies(V.reels(spark, d), RATE)), 4, "lufs")
+
+
+@query("a25_quality_control_weighted")
+def a25_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """As a25, by K-weighted loudness and oversampled true peaks."""
+    return Q.verdicts(Q.checks(measured(spark, d, weighted=True)))
