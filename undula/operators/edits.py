@@ -139,16 +139,36 @@ def cut_region(samples: DataFrame, start: int, end: int, crossfade: int = 0) ->
     return summed([d.select("track", "channel", at.alias("i"), (F.col("x") * weight).alias("x"))])
 
 
-def splice(base: DataFrame, clip: DataFrame, at: int, mode: str) -> DataFrame:
-    """clip (same tracks and channels) put into base at a place: insert, overwrite or mix. Length grows only by insert."""
-    n = clip.groupBy("track").agg((F.max("i") + 1).alias("clip_n"))
-    shifted = clip.select("track", "channel", (F.col("i") + at).alias("i"), "x")
-    if mode == "insert":
-        moved = base.join(n, "track", "left").withColumn("i", F.when(F.col("i") >= at, F.col("i") + F.coalesce("clip_n", F.lit(0))).otherwise(F.col("i")))
-        return moved.select(COLUMNS).unionByName(shifted)
-    both = base.join(shifted.withColumnRenamed("x", "y"), [*KEY, "i"], "left")
-    x = F.coalesce("y", "x") if mode == "overwrite" else F.col("x") + F.coalesce("y", F.lit(0.0))
-    return both.withColumn("x", x).select(COLUMNS)
+def aligned(clip: DataFrame, base: DataFrame) -> DataFrame:
+    """clip with the channels of base, for the tracks of both: mono doubled for stereo, stereo averaged for mono; any other difference is an error."""
+    size = lambda d, name: d.groupBy("track").agg((F.max("channel") + 1).alias(name))
+    d = clip.select(COLUMNS).join(size(base, "have").join(size(clip, "own"), "track"), "track")
+    here, first = F.array(F.col("channel").cast("int")), F.array(F.lit(0))
+    to = F.when(F.col("own") == F.col("have"), here).when((F.col("own") == 1) & (F.col("have") == 2), F.array(F.lit(0), F.lit(1))).when((F.col("own") == 2) & (F.col("have") == 1), first)
+    to = F.coalesce(to, F.raise_error(F.format_string("a clip of %d channels can't go into %d", "own", "have")).cast("array<int>"))
+    return d.withColumn("channel", F.explode(to)).groupBy(*KEY, "i").agg(F.avg("x").alias("x"))
+
+
+def splice(base: DataFrame, clip: DataFrame, at: int, mode: str, crossfade: int = 0) -> DataFrame:
+    """clip put into base at a place (not beyond a track's end): insert, overwrite or mix. Length grows only by insert, whose two seams overlap by the crossfade as far as all parts are that long. Tracks without a clip stay."""
+    if mode not in ("insert", "overwrite", "mix"):
+        raise ValueError(f"no splice mode {mode}")
+    clip = aligned(clip, base)
+    sizes = lengths(base).join(clip.groupBy("track").agg((F.max("i") + 1).alias("m")), "track", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    sizes = sizes.withColumn("p", F.least(F.lit(max(0, at)), "n")).withColumn("c1", F.least(F.lit(crossfade), "p", "m")).withColumn("c2", F.least(F.lit(crossfade), F.col("n") - F.col("p"), F.col("m") - F.col("c1")))
+    i, x = F.col("i"), F.col("x")
+    if mode != "insert":
+        shifted = clip.join(sizes, "track").select(*KEY, (i + F.col("p")).alias("i"), x.alias("y"))
+        both = base.join(shifted, [*KEY, "i"], "left")
+        return both.withColumn("x", F.coalesce("y", "x") if mode == "overwrite" else x + F.coalesce("y", F.lit(0.0))).select(COLUMNS)
+    d, left = base.join(sizes, "track"), i < F.col("p")
+    k1, k2 = i - (F.col("p") - F.col("c1")), i - F.col("p")
+    weight = F.when(left & (k1 >= 0), 1 - curve(k1, F.col("c1"))).when(~left & (k2 < F.col("c2")), curve(k2, F.col("c2"))).otherwise(1.0)
+    sides = d.select(*KEY, F.when(left, i).otherwise(i + F.col("m") - F.col("c1") - F.col("c2")).alias("i"), (x * weight).alias("x"))
+    k2 = i - (F.col("m") - F.col("c2"))
+    weight = F.when(i < F.col("c1"), curve(i, F.col("c1"))).when(k2 >= 0, 1 - curve(k2, F.col("c2"))).otherwise(1.0)
+    inside = clip.join(sizes, "track").select(*KEY, (i + F.col("p") - F.col("c1")).alias("i"), (x * weight).alias("x"))
+    return summed([sides, inside]) if crossfade > 0 else sides.unionByName(inside)
 
 
 def concat(clips: DataFrame, crossfade: int = 0) -> DataFrame:
@@ -244,8 +264,18 @@ def validated(ops: DataFrame) -> DataFrame:
     return ops.withColumn("known", F.col("type").isin(*OPERATIONS)).withColumn("missing", F.coalesce(F.array_except(need[F.col("type")], F.map_keys("params")), F.array().cast("array<string>")))
 
 
-def render(samples: DataFrame, ops: list[tuple[str, dict]], rate: int, every: int = 4) -> DataFrame:
-    """An edit list applied in order, each operation on the time line that the one before left; plans are cut every few steps."""
+def render(samples: DataFrame, ops: list[tuple[str, dict]], rate: int, every: int = 4, clips: dict[str, tuple[DataFrame, int]] | None = None) -> DataFrame:
+    """An edit list applied in order, each operation on the time line that the one before left; plans are cut every few steps.
+
+    clips: samples and rate of what splice operations name; a clip of another rate is an error, as is what can't be applied."""
+    from undula.operators import loudness
+
+    def spliced(d: DataFrame, p: dict) -> DataFrame:
+        clip, own = (clips or {})[p["clip"]]
+        if own != rate:
+            raise ValueError(f"clip {p['clip']} has {own} samples a second, not {rate}")
+        return splice(d, clip, at(p["position_sec"]), p["mode"], ms(p.get("crossfade_ms")))
+
     at = lambda sec: int(round(float(sec) * rate))
     ms = lambda v: int(round(float(v or 0) / 1000 * rate))
     side = lambda p, end: at(p[f"{end}_sec"]) if p.get(f"{end}_sec") is not None else ms(p.get(f"{end}_ms"))
@@ -256,7 +286,9 @@ def render(samples: DataFrame, ops: list[tuple[str, dict]], rate: int, every: in
         "fade_in": lambda d, p: fade_in(d, at(p["duration_sec"]), p.get("curve", "linear")),
         "fade_out": lambda d, p: fade_out(d, at(p["duration_sec"]), p.get("curve", "linear")),
         "pad": lambda d, p: pad(d, side(p, "head"), side(p, "tail")),
+        "splice": spliced,
         "remove_dc": lambda d, _: remove_dc(d),
+        "loudness_normalize": lambda d, p: loudness.normalized(d, rate, float(p.get("target_lufs", -14.0)), float(p.get("max_true_peak_dbtp", -1.0))),
         "normalize": lambda d, p: normalize(d, p.get("peak_db", None if "target_rms_db" in p else -1.0), p.get("target_rms_db")),
         "gain": lambda d, p: gain(d, float(p["db"])),
         "gate": lambda d, p: gate(d, float(p.get("threshold_db", -50)), max(1, int(float(p.get("attack_sec", 0.01)) * rate)), max(1, int(float(p.get("release_sec", 0.05)) * rate)), int(p.get("frame", 1024)), int(p.get("hop", 512))),
@@ -270,9 +302,12 @@ def render(samples: DataFrame, ops: list[tuple[str, dict]], rate: int, every: in
     return samples
 
 
-def delivery_operations(remove_offset: bool, head_ms: float, tail_sec: float, fade_in_ms: float, fade_out_sec: float) -> list[tuple[str, dict]]:
-    """The edit list that prepares a track for delivery."""
+def delivery_operations(
+    remove_offset: bool, head_ms: float, tail_sec: float, fade_in_ms: float, fade_out_sec: float, target_lufs: float | None = None, max_true_peak_dbtp: float = -1.0, fade_curve: str = "linear"
+) -> list[tuple[str, dict]]:
+    """The edit list that prepares a track for delivery; with a target, its loudness comes last."""
     ops: list[tuple[str, dict]] = [("remove_dc", {})] if remove_offset else []
-    ops += [("fade_in", {"duration_sec": fade_in_ms / 1000})] if fade_in_ms else []
-    ops += [("fade_out", {"duration_sec": fade_out_sec})] if fade_out_sec else []
-    return ops + ([("pad", {"head_ms": head_ms, "tail_sec": tail_sec})] if head_ms or tail_sec else [])
+    ops += [("fade_in", {"duration_sec": fade_in_ms / 1000, "curve": fade_curve})] if fade_in_ms else []
+    ops += [("fade_out", {"duration_sec": fade_out_sec, "curve": fade_curve})] if fade_out_sec else []
+    ops += [("pad", {"head_ms": head_ms, "tail_sec": tail_sec})] if head_ms or tail_sec else []
+    return ops + ([("loudness_normalize", {"target_lufs": target_lufs, "max_true_peak_dbtp": max_true_peak_dbtp})] if target_lufs is not None else [])

@@ -102,6 +102,16 @@ def p11_insert(spark: SparkSession, d: str) -> DataFrame:
     return Q6(E.splice(V.clips(spark, d), clip_of(spark, d), 20, "insert"))
 
 
+@query(
+    "p11_splice_crossfade",
+    f"""with {V.CLIPS}, {SHORT}, b as (select track, channel, case when i < 20 then i else i + 2 end i, case when i between 16 and 19 then x * (1 - (i - 16) / 3.0::double) when i between 20 and 23 then x * ((i - 20) / 3.0::double) else x end x from clips),
+    m as (select track, channel, i - 4 i, case when i < 24 then x * ((i - 20) / 3.0::double) when i >= 26 then x * (1 - (i - 26) / 3.0::double) else x end x from k)
+    select track, channel, i, round(sum(x), 6) x from (select * from b union all select * from m) group by all""",
+)
+def p11_crossfade(spark: SparkSession, d: str) -> DataFrame:
+    return Q6(E.splice(V.clips(spark, d), clip_of(spark, d), 20, "insert", crossfade=4))
+
+
 @query("p11_splice_overwrite", f"with {V.CLIPS}, {SHORT} select track, channel, i, round(coalesce(k.x, clips.x), 6) x from clips left join k using (track, channel, i)")
 def p11_overwrite(spark: SparkSession, d: str) -> DataFrame:
     return Q6(E.splice(V.clips(spark, d), clip_of(spark, d), 20, "overwrite"))
@@ -179,6 +189,28 @@ def p19(spark: SparkSession, d: str) -> DataFrame:
     return Q6(E.render(V.clips(spark, d), OPS, RATE))
 
 
+SPLICES = [("trim", {"start_sec": 0.0, "end_sec": 0.04}), ("splice", {"clip": "head", "position_sec": 0.02, "mode": "insert"}), ("splice", {"clip": "head", "position_sec": 0.005, "mode": "mix"}), ("gain", {"db": -3.0})]
+
+
+@query(
+    "p19_render_splices",
+    f"""with {V.CLIPS}, h as (select track, channel, i, x * pow(10, -6 / 20.0::double) x from clips where i < 10),
+    a as (select track, channel, case when i >= 20 then i + 10 else i end i, x from clips where i < 40 union all select track, channel, i + 20 i, x from h)
+    select a.track, a.channel, a.i, round((a.x + coalesce(h.x, 0)) * pow(10, -3 / 20.0::double), 6) x from a left join h on h.track = a.track and h.channel = a.channel and h.i + 5 = a.i""",
+)
+def p19_splices(spark: SparkSession, d: str) -> DataFrame:
+    return Q6(E.render(V.clips(spark, d), SPLICES, RATE, clips={"head": (clip_of(spark, d), RATE)}))
+
+
+@query("p21_delivery_loudness")
+def p21_loudness(spark: SparkSession, d: str) -> DataFrame:
+    """Reels prepared for delivery at -23 LUFS, and what they then measure."""
+    from undula.operators import loudness as L
+
+    out = E.render(V.reels(spark, d), E.delivery_operations(True, 100, 0.2, 20, 0.05, -23.0), RATE)
+    return L.report(out, RATE, 3)
+
+
 NEED = "map {" + ", ".join(f"'{k}': [{', '.join(repr(x) for x in v)}]::varchar[]" for k, v in E.OPERATIONS.items()) + "}"
 
 
