@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,10 +211,7 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
 
 # Meters: the stream's results are those of its batch twin, which SQL follows. Complete mode, so no window is left open.
 def streamed(spark: SparkSession, d: str, job) -> DataFrame:
-    name = f"meter_{uuid.uuid4().hex}"
-    q = job(T.events(spark, d)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return T.finished(spark, job(T.events(spark, d)), "complete")
 
 
 LIVE = "ev as (select user_id track, ts, (value - 250) / 250 x from events)"
@@ -244,7 +239,4 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t4_carried_state")
 def t4(spark: SparkSession, d: str) -> DataFrame:
-    name = f"meter_{uuid.uuid4().hex}"
-    q = T.smoothed(T.events(spark, d)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("track", "ts", F.round("y", 6).alias("y"))
+    return T.finished(spark, T.smoothed(T.events(spark, d)), "append").select("track", "ts", F.round("y", 6).alias("y"))

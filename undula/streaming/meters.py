@@ -5,6 +5,8 @@ Input: ts (event time), track, x. Late rows beyond the watermark are dropped and
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,42 @@ def activity(samples: DataFrame, threshold: float, gap: str = "6 hours", least:
     return out.filter(F.col("end") - F.col("start") >= F.expr(f"interval {least}")).select("track", "start", "end", "n")
 
 
+def followed(x: np.ndarray, alpha: float, y: float, block: int = 128) -> np.ndarray:
+    """y[k] = y[k-1] + alpha * (x[k] - y[k-1]), a block of samples at a time as one product with the block's impulse responses."""
+    k = np.arange(block)
+    keep = (1 - alpha) ** (k + 1.0)
+    within = np.where(k[:, None] >= k, alpha * (1 - alpha) ** np.maximum(k[:, None] - k, 0.0), 0.0)
+    out = np.empty(len(x))
+    for a in range(0, len(x), block):
+        part = x[a : a + block]
+        n = len(part)
+        out[a : a + n] = within[:n, :n] @ part + keep[:n] * y
+        y = out[a + n - 1]
+    return out
+
+
+def finished(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives for all input now present, as a table of Parquet files in the shared folder, never gathered on the driver.
+
+    In append mode each batch adds files; in complete mode each replaces what the one before wrote."""
+    folder = f"{shared_folder(spark)}/meter-{uuid.uuid4().hex}"
+    write = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = write.format("parquet").option("path", f"{folder}/rows").start()
+    else:
+        q = write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """From spark.checkpoint.dir; only a local session, whose one machine shares all, may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
 def smoothed(samples: DataFrame, alpha: float = 0.2, late: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """track, ts, y: a one-pole level follower whose state is carried from chunk to chunk, so seams don't show. State ends when event time has gone an idle time beyond a track's last row."""
 
@@ -58,10 +96,8 @@ def smoothed(samples: DataFrame, alpha: float = 0.2, late: str = "1 hour", idle_
             return
         y = state.get[0] if state.exists else 0.0
         pdf = pd.concat(list(parts)).sort_values(["ts", "x"])
-        out = np.empty(len(pdf))
-        for k, x in enumerate(np.abs(pdf["x"].to_numpy())):
-            y += alpha * (x - y)
-            out[k] = y
+        out = followed(np.abs(pdf["x"].to_numpy()), alpha, y)
+        y = out[-1] if len(out) else y
         state.update((float(y),))
         last = int(pdf["ts"].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
