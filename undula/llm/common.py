@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 #: A key with more of all rows than this is not dealt to one task.
 HOT_SHARE = 0.002
+#: Labels whose counts are broadcast.
+LABELS = 10_000
 #: Tasks that the rows of such a key are dealt to.
 PARTS = 32
 _made: list[tuple[SparkSession, str]] = []
@@ -85,7 +87,9 @@ def class_sample(df: DataFrame, key: str, label: str, n: int) -> DataFrame:
 
     A bound on the hash, from the label's own count, leaves about twice the rows wanted; only these are ranked."""
     sizes = df.groupBy(label).agg(F.count("*").alias("label_rows"))
-    each = max(1, n // max(1, sizes.count()))
+    labels = sizes.count()
+    each = max(1, n // max(1, labels))
+    sizes = F.broadcast(sizes) if labels <= LABELS else sizes
     share = (F.xxhash64(key).cast("double") / float(1 << 64) + 0.5) * F.col("label_rows")
     few = df.join(sizes.withColumnRenamed(label, "_label"), F.col(label) == F.col("_label")).drop("_label").filter(share < 2 * each + 20)
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
