@@ -66,6 +66,29 @@ def k_filtered(x: np.ndarray, halo: int, rate: int = 48_000) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[halo : len(x)]
 
 
+def window_sums(v: np.ndarray, n: int) -> np.ndarray:
+    """Sums of every n values in a row. Each is the end of one block of n and the start of the next, so nothing cancels after loud values."""
+    blocks = np.concatenate([v, np.zeros(-len(v) % n)]).reshape(-1, n)
+    starts, ends = blocks.cumsum(1).ravel(), blocks[:, ::-1].cumsum(1)[:, ::-1].ravel()
+    at = np.arange(max(len(v) - n + 1, 0))
+    return np.where(at % n == 0, starts[at + n - 1], ends[at] + starts[at + n - 1])
+
+
+def click_ratios(x: np.ndarray, low: int, start: int, stop: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in [start, stop) and their step to the next sample over the RMS of a centred window, held at the track's ends.
+    x begins at place `low`, with `window` samples of halo before start and window + 1 after stop unless the track ends there; missing samples are NaN."""
+    end = low + len(x)
+    n = min(window, end) if low == 0 else window
+    places = np.arange(start, min(stop, end - 1))
+    if not len(places):
+        return places, np.zeros(0)
+    at = np.maximum(0, np.minimum(places - max((n - 2) // 2, 0), end - n))
+    power = window_sums(np.nan_to_num(x) ** 2, n)[at - low] / n
+    step = np.abs(np.diff(x))[places - low]
+    known = ~np.isnan(step)
+    return places[known], step[known] / np.sqrt(np.maximum(power[known], 1e-12))
+
+
 def oversampled_peak(x: np.ndarray, factor: int = 4, reach: int = 24) -> float:
     """Largest magnitude of x and of `factor` - 1 windowed-sinc values between each two samples. x carries `reach` samples of halo at both ends."""
     if not len(x):

@@ -5,9 +5,12 @@ Frames are sums over blocks of one hop, so samples are read once and only blocks
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.functions import kernels as K
 from undula.functions.columns import from_db
 from undula.operators.edits import CHUNK, lengths, mono, totals, with_neighbours
 
@@ -63,19 +66,26 @@ def prefix_sums(d: DataFrame, value: Column, chunk: int = CHUNK) -> DataFrame:
     return c.join(before, ["track", "chunk"]).withColumn("s", F.sum("v").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("offset")).drop("chunk", "v", "offset")
 
 
-def click_ratios(samples: DataFrame, window: int) -> DataFrame:
-    """track, i, ratio: the step to the next sample over the local RMS of a centred window, held at the track's ends."""
-    m = mono(samples)
-    sums = prefix_sums(m, F.col("x") * F.col("x"))
-    n = lengths(m)
-    steps = with_neighbours(m).filter("before is not null").select("track", (F.col("i") - 1).alias("i"), F.abs(F.col("x") - F.col("before")).alias("step"))
-    d = steps.join(n, "track").withColumn("w", F.least(F.lit(window), F.col("n")))
-    at = F.greatest(F.lit(0), F.least(F.col("i") - F.greatest(F.floor((F.col("w") - 2) / 2), F.lit(0)), F.col("n") - F.col("w")))
-    d = d.withColumn("lo", at - 1).withColumn("hi", at + F.col("w") - 1)
-    low, high = sums.select("track", F.col("i").alias("lo"), F.col("s").alias("s0")), sums.select("track", F.col("i").alias("hi"), F.col("s").alias("s1"))
-    d = d.join(high, ["track", "hi"]).join(low, ["track", "lo"], "left")
-    rms = F.sqrt(F.greatest((F.col("s1") - F.coalesce("s0", F.lit(0.0))) / F.col("w"), F.lit(1e-12)))
-    return d.select("track", "i", (F.col("step") / rms).alias("ratio"))
+def dealt(samples: DataFrame, chunk: int, left: int, right: int) -> DataFrame:
+    """samples with column chunk: each chunk has its own samples, up to `left` before them and `right` after them. Behind a track's end comes a chunk of halo alone."""
+    numbers = F.sequence(F.greatest(F.floor((F.col("i") - right) / chunk), F.lit(0)), F.floor((F.col("i") + left) / chunk))
+    return samples.select("track", "channel", "i", "x", F.explode(numbers).alias("chunk"))
+
+
+def click_chunks(samples: DataFrame, window: int, sensitivity: float, chunk: int = CHUNK) -> DataFrame:
+    """track, ratio (the largest step of a chunk over the RMS around it), places (of the steps above `sensitivity`). All channels of a chunk meet in one task; no other shuffle is needed."""
+    kind = samples.schema["track"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, first = int(pdf["chunk"].iloc[0]) * chunk, int(pdf["i"].min())
+        mono = pdf.groupby("i")["x"].mean()
+        signal = np.full(int(pdf["i"].max()) + 1 - first, np.nan)
+        signal[mono.index.to_numpy() - first] = mono.to_numpy()
+        places, ratios = K.click_ratios(signal, first, start, start + chunk, window)
+        found = [{"track": pdf["track"].iloc[0], "ratio": float(ratios.max()), "places": places[ratios > sensitivity].tolist()}] if len(ratios) else []
+        return pd.DataFrame(found, columns=["track", "ratio", "places"], dtype=object)
+
+    return dealt(samples, chunk, window, window + 1).groupBy("track", "chunk").applyInPandas(run, f"track {kind}, ratio double, places array<long>")
 
 
 def thinned(places: Column, apart: int) -> Column:
@@ -83,12 +93,23 @@ def thinned(places: Column, apart: int) -> Column:
     return F.aggregate(places, F.array().cast("array<bigint>"), lambda acc, c: F.when((F.size(acc) == 0) | (c - F.coalesce(F.element_at(acc, -1), F.lit(0)) > apart), F.concat(acc, F.array(c))).otherwise(acc))
 
 
+def kept_places(candidates: DataFrame, apart: int) -> DataFrame:
+    """track, i of the candidates (track, i) without those within `apart` of the last one kept.
+
+    A candidate more than `apart` after the one before it is kept whatever came before, so only runs between such gaps are folded."""
+    by = Window.partitionBy("track").orderBy("i")
+    new = F.when(F.col("i") - F.lag("i").over(by) <= apart, 0).otherwise(1)
+    listed = candidates.withColumn("new", new).withColumn("run", F.sum("new").over(by)).groupBy("track", "run").agg(F.sort_array(F.collect_list("i")).alias("c"))
+    return listed.select("track", F.explode(thinned(F.col("c"), apart)).alias("i"))
+
+
 def clicks(samples: DataFrame, rate: int, sensitivity: float = 6.0, window_ms: float = 50.0, apart_ms: float = 5.0) -> DataFrame:
-    """track, n_clicks, places (kept candidates), max_ratio. Only candidates are gathered by track."""
-    ratios = click_ratios(samples, max(int(window_ms / 1000 * rate), 16))
-    top = ratios.groupBy("track").agg(F.max("ratio").alias("max_ratio"))
-    found = ratios.filter(F.col("ratio") > sensitivity).groupBy("track").agg(F.sort_array(F.collect_list("i")).alias("c"))
-    kept = found.select("track", thinned(F.col("c"), max(int(apart_ms / 1000 * rate), 1)).alias("places"))
+    """track, n_clicks, places (kept candidates), max_ratio: steps to the next sample over the local RMS of a centred window, held at the track's ends."""
+    chunks = click_chunks(samples, max(int(window_ms / 1000 * rate), 16), sensitivity)
+    if samples.sparkSession.conf.get("spark.checkpoint.dir", None):
+        chunks = chunks.checkpoint()  # read twice below
+    top = chunks.groupBy("track").agg(F.max("ratio").alias("max_ratio"))
+    kept = kept_places(chunks.select("track", F.explode("places").alias("i")), max(int(apart_ms / 1000 * rate), 1)).groupBy("track").agg(F.sort_array(F.collect_list("i")).alias("places"))
     out = samples.select("track").distinct().join(top, "track", "left").join(kept, "track", "left")
     return out.select("track", F.coalesce(F.size("places"), F.lit(0)).alias("n_clicks"), F.coalesce("places", F.array().cast("array<bigint>")).alias("places"), "max_ratio")
 

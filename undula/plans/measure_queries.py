@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from undula.operators import edits as E
 from undula.operators import frames as M
 from undula.operators import loudness as L
+from undula.operators import measures as A
 from undula.operators import qc as Q
 from undula.operators import regions as R
 from undula.operators import spectral as S
@@ -126,8 +127,7 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r5_thinned", f"with recursive {V.LINES}, o as (select track, i, row_number() over (partition by track order by i) k from lines where abs(x) >= 0.95), g as (select track, k, i kept, true keep from o where k = 1 union all select o.track, o.k, case when o.i - g.kept > 12 then o.i else g.kept end, o.i - g.kept > 12 from g join o on o.track = g.track and o.k = g.k + 1) select track, kept from g where keep")
 def r5(spark: SparkSession, d: str) -> DataFrame:
-    hit = V.lines(spark, d).filter(F.abs("x") >= 0.95).groupBy("track").agg(F.sort_array(F.collect_list("i")).alias("c"))
-    return hit.select("track", F.explode(M.thinned(F.col("c"), 12)).alias("kept"))
+    return M.kept_places(V.lines(spark, d).filter(F.abs("x") >= 0.95).select("track", "i"), 12).withColumnRenamed("i", "kept")
 
 
 SP = f"{V.SPEECH}, sp as (select * from speech where kind = 'speech'), ends as (select track, max(b) n from speech group by track)"
@@ -308,19 +308,7 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
 
 def measured(spark: SparkSession, d: str, weighted: bool = False) -> DataFrame:
     """Everything quality control asks of the reels; unweighted, SQL can follow: energies as they are and sample peaks for true peaks."""
-    s = V.reels(spark, d)
-    dc = E.dc_offset(s).groupBy("track").agg(F.round(F.max(F.abs("dc")), 6).alias("dc"))
-    e = L.energies(s, RATE, weighted)
-    peak = L.true_peak(s).select("track", F.round("true_peak_db", 2).alias("true_peak")) if weighted else L.sample_peak(s).select("track", F.round("peak_db", 2).alias("true_peak"))
-    parts = [
-        rounded(L.integrated(e), 2, "lufs"), rounded(L.loudness_range(L.short_term(e, 3)), 2, "lra"), peak, M.clipping(s, 0.4).select("track", "clipped"), dc,
-        M.clicks(s, RATE, 6.0, 50.0, 5.0).select("track", F.col("n_clicks").cast("long").alias("n_clicks")), M.correlation(s, 256).select("track", F.round("negative_pct", 2).alias("phase_negative_pct")), rounded(M.imbalance(s), 2, "imbalance_db"),
-        M.head_tail_silence(s, RATE).select("track", "head_ms", "tail_sec"),
-    ]
-    out = s.select("track").distinct()
-    for p in parts:
-        out = out.join(p, "track", "left")
-    return out.withColumn("rate", F.lit(RATE)).withColumn("depth", F.lit(24))
+    return A.measured(V.reels(spark, d), A.Asked(RATE, weighted, clip=0.4, window=256, short=3), depth=24)
 
 
 TG = VALUES("tg", [tuple("null" if v is None else v for v in r) for r in Q.TARGETS], "target, lufs_lo, lufs_hi, peak_max, lra_min, head_lo, head_hi, tail_lo, tail_hi, rate_is, depth_min").replace("'null'", "null")
