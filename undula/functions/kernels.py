@@ -66,6 +66,14 @@ def k_filtered(x: np.ndarray, halo: int, rate: int = 48_000) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[halo : len(x)]
 
 
+def mono(i: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first place, and from there the mean of all channels at each place; NaN where there is no sample."""
+    first, known = int(i.min()), ~np.isnan(x)
+    size = int(i.max()) + 1 - first
+    n = np.bincount(i[known] - first, minlength=size)
+    return first, np.where(n > 0, np.bincount(i[known] - first, x[known], size) / np.maximum(n, 1), np.nan)
+
+
 def window_sums(v: np.ndarray, n: int) -> np.ndarray:
     """Sums of every n values in a row. Each is the end of one block of n and the start of the next, so nothing cancels after loud values."""
     blocks = np.concatenate([v, np.zeros(-len(v) % n)]).reshape(-1, n)

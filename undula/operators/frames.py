@@ -67,9 +67,12 @@ def prefix_sums(d: DataFrame, value: Column, chunk: int = CHUNK) -> DataFrame:
 
 
 def dealt(samples: DataFrame, chunk: int, left: int, right: int) -> DataFrame:
-    """samples with column chunk: each chunk has its own samples, up to `left` before them and `right` after them. Behind a track's end comes a chunk of halo alone."""
+    """samples with column chunk: each chunk has its own samples, up to `left` before them and `right` after them. Behind a track's end comes a chunk of halo alone.
+
+    They are dealt by (track, chunk), over as many tasks as the session names: kernels cost more than their rows' bytes tell."""
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbers = F.sequence(F.greatest(F.floor((F.col("i") - right) / chunk), F.lit(0)), F.floor((F.col("i") + left) / chunk))
-    return samples.select("track", "channel", "i", "x", F.explode(numbers).alias("chunk"))
+    return samples.select("track", "channel", "i", "x", F.explode(numbers).alias("chunk")).repartition(tasks, "track", "chunk")
 
 
 def click_chunks(samples: DataFrame, window: int, sensitivity: float, chunk: int = CHUNK) -> DataFrame:
@@ -77,10 +80,8 @@ def click_chunks(samples: DataFrame, window: int, sensitivity: float, chunk: int
     kind = samples.schema["track"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, first = int(pdf["chunk"].iloc[0]) * chunk, int(pdf["i"].min())
-        mono = pdf.groupby("i")["x"].mean()
-        signal = np.full(int(pdf["i"].max()) + 1 - first, np.nan)
-        signal[mono.index.to_numpy() - first] = mono.to_numpy()
+        start = int(pdf["chunk"].iloc[0]) * chunk
+        first, signal = K.mono(pdf["i"].to_numpy(), pdf["x"].to_numpy(float))
         places, ratios = K.click_ratios(signal, first, start, start + chunk, window)
         found = [{"track": pdf["track"].iloc[0], "ratio": float(ratios.max()), "places": places[ratios > sensitivity].tolist()}] if len(ratios) else []
         return pd.DataFrame(found, columns=["track", "ratio", "places"], dtype=object)
