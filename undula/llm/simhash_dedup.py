@@ -41,6 +41,8 @@ SEED = 42
 PIVOTS, GROUPS, HOT = 16, 5, 256
 #: Rows of two longs that are broadcast: some 40 MB at most.
 LABEL_ROWS = 500_000
+#: Steps of a round of components, where labels are few enough to be broadcast.
+STEPS = 2
 #: Every second bit: where blocks of two bits, and their packed coordinates, begin.
 LOW_BITS = 0x5555555555555555
 
@@ -168,15 +170,18 @@ def components(edges: DataFrame) -> DataFrame:
     few = label.count() <= LABEL_ROWS
     near = F.broadcast if few else lambda df: df
     while True:
-        heard = both.join(near(label.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        best = label.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
-        beyond = label.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        if few:
-            jumped = best.join(F.broadcast(beyond), "root", "left")
-        else:  # many nodes have one root; a root is a node, so each has its row
-            best = stored(best, "best")
-            jumped = spread_join(best, best.groupBy("root").agg(F.count("*").alias("n")).join(beyond, "root", "left"), "root")
-        new = stored(jumped.select("node", "was", F.least("root", "beyond").alias("root")), "roots")
+        now = label
+        for _ in range(STEPS if few else 1):
+            heard = both.join(near(now.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
+            best = now.join(heard, "node").select("node", F.least("root", "heard").alias("root"))
+            beyond = now.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+            if few:
+                jumped = best.join(F.broadcast(beyond), "root", "left")
+            else:  # many nodes have one root; a root is a node, so each has its row
+                best = stored(best, "best")
+                jumped = spread_join(best, best.groupBy("root").agg(F.count("*").alias("n")).join(beyond, "root", "left"), "root")
+            now = jumped.select("node", F.least("root", "beyond").alias("root"))
+        new = stored(now.join(near(label.withColumnRenamed("root", "was")), "node"), "roots")
         label = new.select("node", "root")
         if new.filter("root < was").isEmpty():
             return label
