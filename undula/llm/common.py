@@ -22,6 +22,8 @@ HOT_SHARE = 0.002
 LABELS = 10_000
 #: Tasks that the rows of such a key are dealt to.
 PARTS = 32
+#: Stretches of ranked keys (a task, a short key, two longs) that are broadcast: some 40 MB at most.
+RUNS = 500_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -125,6 +127,22 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return n.filter(F.col("n") > HOT_SHARE * total).select(key)
 
 
+def ranked(rows: DataFrame, key: str, order: list[str], deal: list[str] | None = None) -> DataFrame:
+    """rows with `pos`, their place from 0 within `key` (never null) by the columns `order`, and `n`, how many rows the key has.
+
+    Rows are dealt by ranges of key and `deal` (else `order`), so a key with a third of all rows fills many tasks; a place is
+    the row's place in its task's stretch of the key, plus the counts of the stretches before. Only rows with equal `deal`
+    meet in one task. The numbered rows are written before they are counted, so a lost executor can't renumber them."""
+    dealt = rows.repartitionByRange(key, *(deal or order)).sortWithinPartitions(key, *order)
+    numbered = stored(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")), "ranked")
+    runs = numbered.groupBy("_part", key).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    of_key = Window.partitionBy(key)
+    before = F.coalesce(F.sum("_n").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = stored(runs.select("_part", key, (before - F.col("_first")).alias("_shift"), F.sum("_n").over(of_key).alias("n")), "runs")
+    runs = F.broadcast(runs) if runs.count() <= RUNS else runs
+    return numbered.join(runs, ["_part", key]).select(*rows.columns, (F.col("_id") + F.col("_shift")).alias("pos"), "n")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is. ASCII texts, where lower() does just that, take the fast way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

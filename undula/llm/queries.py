@@ -11,6 +11,8 @@ from undula.llm.decontamination import ORACLE as DECONTAMINATION_SQL
 from undula.llm.decontamination import op2_decontamination, op2_near_matches
 from undula.llm.html_text import op4_html_text
 from undula.llm.language_id import op5_language_id
+from undula.llm.merkle_manifest import ORACLE as MERKLE_SQL
+from undula.llm.merkle_manifest import op11_merkle_manifest
 from undula.llm.pii import op10_pii
 from undula.llm.quality_rules import ORACLE as QUALITY_SQL
 from undula.llm.quality_rules import op8_quality_rules
@@ -28,6 +30,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_decontamination, op3_toxicity, op4_html_text, op5_language_id, op6_simhash_dedup, op7_bpe_codec, op8_quality_rules, op9_secrets, op10_pii, op2_near_matches, pipeline)
+    for f in (op1_token_counts, op2_decontamination, op3_toxicity, op4_html_text, op5_language_id, op6_simhash_dedup, op7_bpe_codec, op8_quality_rules, op9_secrets, op10_pii, op11_merkle_manifest, op2_near_matches, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op8_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op8_quality_rules": QUALITY_SQL, "op11_merkle_manifest": MERKLE_SQL}
