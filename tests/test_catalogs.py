@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from undula.functions import columns as C
 from undula.operators import catalogs as K
+from undula.operators.histories import histories
 from undula.operators import mix as X
 from undula.operators import regions as R
 from undula.streaming import meters as T
@@ -28,7 +29,7 @@ def test_histories_equal_a_plain_editor(spark):
                 past.append(future.pop())
         want[s] = (past[-1], len(past) - 1, len(future))
     rng.shuffle(log)
-    got = {r["source"]: (r["ops"], r["undo"], r["redo"]) for r in K.histories(spark.createDataFrame(log, "source long, k long, action string, op string")).collect()}
+    got = {r["source"]: (r["ops"], r["undo"], r["redo"]) for r in histories(spark.createDataFrame(log, "source long, k long, action string, op string")).collect()}
     assert got == want
 
 

@@ -66,16 +66,27 @@ def chain_steps(text: Column) -> Column:
     return F.transform(parts, one)
 
 
-#: Other names of the screening issues.
-ISSUE_ALIASES = {"clicks": "click", "clipping": "clip", "hiss": "background_noise", "noise": "background_noise", "ess": "sibilance", "buzz": "hum", "breaths": "breath"}
-ISSUES = ("click", "hum", "sibilance", "breath", "background_noise", "rf_noise", "mouth_click")
+#: The screening issues and their other names.
+ISSUES = ("click", "hum", "mouth_click", "sibilance", "breath", "background_noise", "rf_noise")
+ISSUE_ALIASES = {
+    "de_ess": "sibilance",
+    "de-ess": "sibilance",
+    "ess": "sibilance",
+    "mouth-click": "mouth_click",
+    "mouth_de_click": "mouth_click",
+    "mouth-de-click": "mouth_click",
+    "noise": "background_noise",
+    "background-noise": "background_noise",
+    "rf": "rf_noise",
+    "rf-noise": "rf_noise",
+}
 
 
 def issue_names(names: Column) -> Column:
-    """Names trimmed, lower-cased, blanks and hyphens as underscores, aliases replaced, each once in first order."""
+    """Names trimmed, lower-cased, blanks as underscores, aliases replaced, each once in first order; blank names are left out."""
     known = F.create_map(*(F.lit(x) for pair in ISSUE_ALIASES.items() for x in pair))
-    clean = F.transform(names, lambda s: F.regexp_replace(F.lower(F.trim(s)), r"[\s-]+", "_"))
-    return F.array_distinct(F.transform(clean, lambda s: F.coalesce(known[s], s)))
+    clean = F.transform(names, lambda s: F.replace(F.lower(F.regexp_replace(s, r"^\s+|\s+$", "")), F.lit(" "), F.lit("_")))
+    return F.array_distinct(F.transform(F.filter(clean, lambda s: s != ""), lambda s: F.coalesce(known[s], s)))
 
 
 def unsupported_issues(names: Column) -> Column:

@@ -143,16 +143,36 @@ def flatness(frames: np.ndarray) -> np.ndarray:
     return np.exp(np.log(power).mean(1)) / power.mean(1)
 
 
-def resample(x: np.ndarray, first: int, n: int, ratio: float, reach: int = 32) -> np.ndarray:
-    """n output samples at places first + k of a rate `ratio` times the input's; x carries `reach` samples of halo at its start."""
-    cut = min(1.0, ratio)
-    at = (first + np.arange(n)) / ratio
-    base = np.floor(at).astype(int)
-    out = np.zeros(n)
-    for k in range(-reach + 1, reach + 1):
-        t = (base + k) - at
-        w = cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / reach, -1, 1)))
-        place = base + k - int(np.floor(first / ratio)) + reach
-        ok = (place >= 0) & (place < len(x))
-        out[ok] += w[ok] * x[place[ok]]
-    return out
+#: Stop band of the resampling filter in dB, its transition as a share of the lower Nyquist frequency (half of it on each side), and the Kaiser window's shape for it.
+STOP_DB, TRANSITION = 95.0, 0.18
+BETA = 0.1102 * (STOP_DB - 8.7)
+
+
+def resample_reach(up: int, down: int) -> int:
+    """Input samples that an output sample needs on each side: the filter grows with the ratio when the rate falls."""
+    periods = (STOP_DB - 8) / (2.285 * TRANSITION * np.pi) / 2
+    return int(np.ceil(periods * max(1.0, down / up))) + 1
+
+
+def polyphase_bank(up: int, down: int) -> np.ndarray:
+    """For each of the `up` phases the weights of the 2 * reach input samples around an output sample; each phase's weights add up to 1."""
+    reach, cut = resample_reach(up, down), min(1.0, up / down)
+    t = np.arange(-reach + 1, reach + 1)[None] - np.arange(up)[:, None] / up
+    bank = np.sinc(cut * t) * np.i0(BETA * np.sqrt(np.maximum(0, 1 - (t / reach) ** 2)))
+    return bank / bank.sum(1, keepdims=True)
+
+
+def resampled(x: np.ndarray, begin: int, start: int, stop: int, n: int, bank: np.ndarray, up: int, down: int) -> tuple[int, np.ndarray]:
+    """(first, y): the output samples whose place in the input, k * down / up, is in [start, stop) and before n. x holds the input
+    from place `begin`; what it doesn't reach is silence."""
+    first, last = -(-start * up // down), -(-min(stop, n) * up // down)
+    k = np.arange(first, last, dtype=np.int64)
+    if not len(k):
+        return first, np.zeros(0)
+    reach, base = bank.shape[1] // 2, k * down // up
+    low, high = int(base[0]) - reach + 1, int(base[-1]) + reach + 1
+    wide = np.zeros(high - low)
+    a, b = max(low, begin), min(high, begin + len(x))
+    wide[a - low : b - low] = x[a - begin : b - begin]
+    windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach)[base - base[0]]
+    return first, np.einsum("kj,kj->k", windows, bank[k * down % up])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.functions.columns import short_name
@@ -64,14 +64,28 @@ def grid(base: DataFrame, swept: dict[str, list]) -> DataFrame:
     return reduce(lambda d, item: d.withColumn(item[0], F.explode(F.array(*map(F.lit, item[1])))), swept.items(), base)
 
 
+def resolved(path: Column, base: Column) -> Column:
+    """A path as seen from the folder `base`, unless it is absolute or a URI; `./` and doubled slashes go."""
+    joined = F.when(path.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), path).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), path))
+    return F.regexp_replace(F.regexp_replace(joined, r"/(\./)+", "/"), r"(?<!:)/{2,}", "/")
+
+
+def outcomes(results: DataFrame, by: str) -> DataFrame:
+    """results (a row for each item or part of one, with path and error) to by, ok, failed, errors: items that were read and that weren't, and what was wrong, each once."""
+    items = results.groupBy(by, "path").agg(F.max("error").alias("error"))
+    return items.groupBy(by).agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sort_array(F.collect_set("error")).alias("errors"))
+
+
 def session_tracks(sessions: DataFrame) -> DataFrame:
-    """sessions (session, body: JSON text) to one row per track with defaults; error says what a bad session lacks."""
+    """sessions (session, body: JSON text, and perhaps file, where that text stands) to one row per track with defaults; error says
+    what a bad session lacks. Relative paths are seen from the session file's folder."""
     track = "struct<path:string,gain_db:double,pan:double,mute:boolean,solo:boolean,offset_samples:bigint>"
     d = sessions.withColumn("s", F.from_json("body", f"output string, tracks array<{track}>"))
     error = F.when(F.col("s.output").isNull(), "output").when(F.coalesce(F.size("s.tracks"), F.lit(0)) == 0, "tracks").when(F.exists("s.tracks", lambda t: t["path"].isNull()), "path")
-    d = d.withColumn("error", error).select("session", "s.output", "error", F.posexplode_outer("s.tracks").alias("k", "t"))
+    d = d.withColumn("error", error).select("session", *(["file"] if "file" in sessions.columns else []), "s.output", "error", F.posexplode_outer("s.tracks").alias("k", "t"))
     zero, no = F.lit(0.0), F.lit(False)
-    return d.select("session", "error", "k", "t.path", F.coalesce("t.gain_db", zero).alias("gain_db"), F.coalesce("t.pan", zero).alias("pan"), F.coalesce("t.mute", no).alias("mute"), F.coalesce("t.solo", no).alias("solo"), F.coalesce("t.offset_samples", F.lit(0).cast("long")).alias("offset"))
+    path = resolved(F.col("t.path"), F.regexp_replace("file", "/[^/]*$", "")) if "file" in sessions.columns else F.col("t.path")
+    return d.select("session", "error", "k", path.alias("path"), F.coalesce("t.gain_db", zero).alias("gain_db"), F.coalesce("t.pan", zero).alias("pan"), F.coalesce("t.mute", no).alias("mute"), F.coalesce("t.solo", no).alias("solo"), F.coalesce("t.offset_samples", F.lit(0).cast("long")).alias("offset"))
 
 
 def edit_lists(texts: DataFrame, newest: int = 1) -> DataFrame:
@@ -79,24 +93,3 @@ def edit_lists(texts: DataFrame, newest: int = 1) -> DataFrame:
     d = texts.withColumn("e", F.from_json("body", "version int, ops array<map<string,string>>")).withColumn("refused", F.coalesce(F.col("e.version") > newest, F.lit(True)))
     ops = d.select("source", "refused", F.posexplode_outer("e.ops").alias("op_no", "op"))
     return ops.select("source", "refused", "op_no", F.col("op")["type"].alias("type"), F.map_filter("op", lambda k, _: k != "type").alias("params"))
-
-
-def histories(log: DataFrame) -> DataFrame:
-    """log (source, k, action, op) folded in order: snapshots and redo as the editor keeps them. source, ops, undo, redo (numbers).
-
-    add and clear save the list before them and empty the redo list; undo needs two saved states (the list and one before it)."""
-    listed_ = log.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("k", "action", "op"))).alias("log"))
-    lists = "array<array<string>>"
-    start = F.struct(F.array(F.array().cast("array<string>")).cast(lists).alias("past"), F.array().cast(lists).alias("future"))
-
-    def fold(acc, e):
-        now, none = F.try_element_at(acc["past"], F.lit(-1)), F.array().cast(lists)
-        n = F.size(acc["past"])
-        pushed = lambda ops: F.struct(F.concat(acc["past"], F.array(ops)).alias("past"), none.alias("future"))
-        undo = F.when(n >= 2, F.struct(F.slice(acc["past"], F.lit(1), n - 1).alias("past"), F.concat(acc["future"], F.array(now)).alias("future"))).otherwise(acc)
-        m = F.size(acc["future"])
-        redo = F.when(m >= 1, F.struct(F.concat(acc["past"], F.array(F.try_element_at(acc["future"], F.lit(-1)))).alias("past"), F.slice(acc["future"], F.lit(1), F.greatest(m - 1, F.lit(0))).alias("future"))).otherwise(acc)
-        return F.when(e["action"] == "add", pushed(F.concat(now, F.array(e["op"])))).when(e["action"] == "clear", pushed(F.array().cast("array<string>"))).when(e["action"] == "undo", undo).when(e["action"] == "redo", redo).otherwise(acc)
-
-    d = listed_.select("source", F.aggregate("log", start, fold).alias("s"))
-    return d.select("source", F.try_element_at("s.past", F.lit(-1)).alias("ops"), (F.size("s.past") - 1).alias("undo"), F.size("s.future").alias("redo"))

@@ -6,12 +6,16 @@ length, peak, mean) is an aggregate joined back, so one long track is never read
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from undula.functions.columns import from_db
+from undula.sources.shared import stored
 
 KEY = ["track", "channel"]
 COLUMNS = ["track", "channel", "i", "x"]
@@ -227,18 +231,22 @@ def gate_envelope(samples: DataFrame, threshold_db: float, attack: int, release:
     flagged = framed.withColumn("open", F.when(closed, 0).otherwise(1))
     flagged = flagged.withColumn("run", F.sum(F.when(F.col("open") != F.lag("open", 1, -1).over(w), 1).otherwise(0)).over(w))
     runs = flagged.groupBy("track", "run").agg((F.min("h") * hop).alias("a"), F.least(F.max("h") * hop + hop, F.first("n")).alias("b"), F.max("open").alias("open"))
-    listed = runs.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("a", "b", "open"))).alias("runs"))
     keep_open, keep_closed = 1 - 1 / attack, 1 - 1 / release
-    start = F.struct(F.lit(-1.0).alias("y"), F.array().cast("array<struct<a:bigint,b:bigint,open:int,y0:double>>").alias("done"))
 
-    def fold(acc: Column, r: Column) -> Column:
-        y0 = F.when(acc["y"] < 0, r["open"].cast("double")).otherwise(acc["y"])  # the first sample is as its hop
-        k = (r["b"] - r["a"]).cast("double")
-        y = F.when(r["open"] == 1, 1 - (1 - y0) * F.pow(F.lit(keep_open), k)).otherwise(y0 * F.pow(F.lit(keep_closed), k))
-        done = F.concat(acc["done"], F.array(F.struct(r["a"].alias("a"), r["b"].alias("b"), r["open"].alias("open"), y0.alias("y0"))))
-        return F.struct(y.alias("y"), done.alias("done"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, y = object(), 0.0
+        for batch in batches:
+            out = []
+            for track, start, end, is_open in zip(*(batch.column(c).to_pylist() for c in ("track", "a", "b", "open")), strict=True):
+                if track != of:
+                    of, y = track, float(is_open)  # the first sample is as its hop
+                out.append(y)
+                y = 1 - (1 - y) * keep_open ** (end - start) if is_open else y * keep_closed ** (end - start)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("track", "a", "b", "open")), pa.array(out, pa.float64())], names=["track", "a", "b", "open", "y0"])
 
-    return listed.select("track", F.explode(F.aggregate("runs", start, fold, lambda acc: acc["done"])).alias("r")).select("track", "r.*")
+    runs = runs.select("track", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("open").cast("int").alias("open"))
+    schema = StructType([runs.schema["track"], *StructType.fromDDL("a long, b long, open int, y0 double").fields])
+    return runs.repartition("track").sortWithinPartitions("track", "a").mapInArrow(fold, schema)  # one pass in order, one number kept
 
 
 def gate(samples: DataFrame, threshold_db: float = -50.0, attack: int = 480, release: int = 2400, frame: int = 1024, hop: int = 512) -> DataFrame:
@@ -297,8 +305,8 @@ def render(samples: DataFrame, ops: list[tuple[str, dict]], rate: int, every: in
         if kind not in known or any(k not in params for k in OPERATIONS[kind]):
             raise ValueError(f"operation {number}: {kind} with {sorted(params)} can't be applied")
         samples = known[kind](samples, params)
-        if number % every == every - 1 and samples.sparkSession.conf.get("spark.checkpoint.dir", None):
-            samples = samples.checkpoint()
+        if number % every == every - 1:
+            samples = stored(samples, "edited")
     return samples
 
 

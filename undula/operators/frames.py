@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from undula.functions import kernels as K
 from undula.functions.columns import from_db
 from undula.operators.edits import CHUNK, lengths, mono, totals, with_neighbours
+from undula.sources.shared import stored
 
 
 def statistics(samples: DataFrame, rate: int) -> DataFrame:
@@ -28,6 +29,11 @@ def frame_metrics(samples: DataFrame, size: int = 2048, hop: int = 512) -> DataF
     blocks = d.groupBy("track", F.floor(F.col("i") / hop).alias("frame_no")).agg(
         F.sum(F.col("x") * F.col("x")).alias("e"), F.max(F.abs("x")).alias("p"), F.sum(F.when(~first, step).otherwise(0)).alias("inner"), F.sum(F.when(first, F.coalesce(step, F.lit(0))).otherwise(0)).alias("lead"), F.max("i").alias("last")
     )
+    return windowed(blocks, size, hop)
+
+
+def windowed(blocks: DataFrame, size: int, hop: int) -> DataFrame:
+    """Frames from blocks (track, frame_no, e, p, inner, lead, last) of one hop: energy, peak, steps inside and into the block, last place."""
     ends = blocks.groupBy("track").agg((F.max("last") + 1).alias("n"))
     m = size // hop
     w = Window.partitionBy("track").orderBy("frame_no").rowsBetween(0, m - 1)
@@ -37,6 +43,12 @@ def frame_metrics(samples: DataFrame, size: int = 2048, hop: int = 512) -> DataF
     return out.join(ends, "track").filter(F.col("start") + size <= F.col("n")).drop("n")
 
 
+def frames_of_blocks(blocks: DataFrame, size: int, hop: int) -> DataFrame:
+    """The same from blocks with the signs of their first and final sample instead of `lead`: the step into a block is that from the block before."""
+    before = F.lag("final").over(Window.partitionBy("track").orderBy("frame_no"))
+    return windowed(blocks.withColumn("lead", F.coalesce(F.abs(F.col("first") - before), F.lit(0.0))), size, hop)
+
+
 def summary(frames: DataFrame, tracks: DataFrame, names: list[str]) -> DataFrame:
     """track, metric, mean, min, max, std (population) of each metric; zeros for tracks without a frame."""
     long = frames.unpivot(["track"], names, "metric", "v")
@@ -106,9 +118,7 @@ def kept_places(candidates: DataFrame, apart: int) -> DataFrame:
 
 def clicks(samples: DataFrame, rate: int, sensitivity: float = 6.0, window_ms: float = 50.0, apart_ms: float = 5.0) -> DataFrame:
     """track, n_clicks, places (kept candidates), max_ratio: steps to the next sample over the local RMS of a centred window, held at the track's ends."""
-    chunks = click_chunks(samples, max(int(window_ms / 1000 * rate), 16), sensitivity)
-    if samples.sparkSession.conf.get("spark.checkpoint.dir", None):
-        chunks = chunks.checkpoint()  # read twice below
+    chunks = stored(click_chunks(samples, max(int(window_ms / 1000 * rate), 16), sensitivity), "clicks")  # read twice below
     top = chunks.groupBy("track").agg(F.max("ratio").alias("max_ratio"))
     kept = kept_places(chunks.select("track", F.explode("places").alias("i")), max(int(apart_ms / 1000 * rate), 1)).groupBy("track").agg(F.sort_array(F.collect_list("i")).alias("places"))
     out = samples.select("track").distinct().join(top, "track", "left").join(kept, "track", "left")

@@ -22,6 +22,7 @@ from undula.functions import kernels as K
 from undula.operators.edits import CHUNK
 from undula.operators.frames import dealt, kept_places
 from undula.operators.loudness import CHANNEL_WEIGHTS, SHORT, integrated, loudness_range, short_term
+from undula.sources.shared import stored
 
 RECORD = (
     "chunk long, peak double, clipped long, channels array<int>, sums array<double>, squares array<double>, counts array<long>, pairs long, windows long, negative long, "
@@ -124,10 +125,7 @@ def records(samples: DataFrame, asked: Asked, chunk: int = CHUNK) -> DataFrame:
 
 def measured(samples: DataFrame, asked: Asked, depth: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """One row per track, as qc.checks takes it: lufs, true_peak, lra, clipped, dc, n_clicks, phase_negative_pct, imbalance_db, head_ms, tail_sec, rate, depth."""
-    d = records(samples, asked, chunk)
-    if samples.sparkSession.conf.get("spark.checkpoint.dir", None):
-        d = d.checkpoint()  # else each measure below would run the kernel again
-    d = d.repartition("track")
+    d = stored(records(samples, asked, chunk), "records").repartition("track")  # else each measure below would run the kernel again
     db = lambda v: F.when(v > 0, 20 * F.log10(v))
     whole = d.groupBy("track").agg(
         F.round(db(F.max("peak")), 2).alias("true_peak"), F.sum("clipped").alias("clipped"),

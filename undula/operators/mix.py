@@ -18,10 +18,27 @@ LEVELS = {
     "vocals": {"lead": 0.0, "leadvox": 0.0, "": -4.0},
 }
 BALANCE = {"drums": 0.0, "bass": 2.0, "guitars": 0.0, "keys": -6.0, "vocals": 4.0, "other": -8.0}
-#: Band levels of reference mixes, by profile.
+#: Band levels of reference mixes (sub, low, mid, high), by profile.
 PROFILES = {
-    "electronica": (-25.5, -28.4, -29.3, -33.1), "pop": (-25.6, -25.9, -27.3, -35.3), "rock": (-25.3, -25.9, -27.6, -36.2), "default": (-25.4, -26.6, -28.0, -35.1),
-}
+    "electronica": (-25.5, -28.4, -29.3, -33.1),
+    "pop": (-25.6, -25.9, -27.3, -35.3),
+    "rock": (-25.3, -25.9, -27.6, -36.2),
+    "default": (-25.4, -26.6, -28.0, -35.1),
+    "yt_rock": (-25.0, -32.6, -36.9, -47.8),
+    "yt_bright_pop": (-26.1, -27.1, -32.0, -46.9),
+    "yt_hiphop": (-25.0, -37.6, -45.3, -54.4),
+    "yt_mid_scoop": (-25.2, -29.6, -41.1, -54.1),
+    "yt_low_heavy_vocal": (-30.7, -25.3, -36.1, -50.6),
+    "yt_high_dr": (-25.1, -31.6, -36.8, -48.4),
+    "yt_ballad": (-44.0, -26.0, -31.7, -51.6),
+    "yt_dark_lofi": (-27.3, -30.7, -45.1, -70.8),
+    "archive_techno_standard": (-25.0, -36.7, -42.6, -51.8),
+    "archive_sub_kick_driven": (-25.0, -43.9, -47.5, -57.3),
+    "archive_minimal_sub": (-25.0, -42.3, -53.7, -57.0),
+    "archive_groovy_low": (-26.0, -27.9, -37.2, -49.3),
+    "archive_dub_techno": (-25.3, -41.0, -56.8, -78.8),
+    "archive_midrange_ambient": (-42.5, -26.1, -31.2, -49.4),
+}
 MIN_GAIN, MAX_GAIN = -24.0, 12.0
 
 
@@ -120,6 +137,37 @@ def pink_profile(edges: list[tuple[float, float]], level: float = -20.0) -> list
     return [level - 10 * math.log10(c / centre[0]) for c in centre]
 
 
+def target_levels(name: str, bands: list[tuple[float, float, str]], level: float = -20.0) -> dict[str, float]:
+    """Band levels to aim at: those of a profile, else pink noise at a level."""
+    values = PROFILES.get(name) or pink_profile([b[:2] for b in bands], level)
+    return {b[2]: float(v) for b, v in zip(bands, values, strict=True)}
+
+
+def measured_target(band_levels: DataFrame, track) -> dict[str, float]:
+    """The band levels of a reference track, a handful of rows, to aim at."""
+    return {r["band"]: r["level"] for r in band_levels.filter(F.col("track") == track).select("band", "level").collect()}
+
+
+def recommendation(tracks: DataFrame, band_levels: DataFrame, target: dict[str, float], grouped: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(gains, mixes): the whole recommendation. gains: mix, track, group, gain_db, exact, rms_db and a column for each band, one
+    digit; mixes: mix, residual_db (one digit), n. tracks: mix, track, name, rms_db; band_levels: mix, track, band, level."""
+    total = band_levels.groupBy("mix", "track").agg(F.sum(power(F.col("level"))).alias("power"))
+    gains = recommended(tracks, total, list(target.values()), grouped)
+    wide = band_levels.groupBy("mix", "track").agg(*(F.round(F.max(F.when(F.col("band") == b, F.col("level"))), 1).alias(b) for b in target))
+    own = tracks.select("mix", "track", F.round("rms_db", 1).alias("rms_db"))
+    mixes = residual(gains, band_levels, target).select("mix", F.round("residual_db", 1).alias("residual_db")).join(gains.groupBy("mix").agg(F.count("*").alias("n")), "mix")
+    return gains.join(own, ["mix", "track"]).join(wide, ["mix", "track"]), mixes
+
+
+def mixdown(samples: DataFrame, config: DataFrame, gains: DataFrame, latency: int = 0) -> DataFrame:
+    """mix, channel, i, x: the mix with each track at its recommended gain (its own where there is none), moved back by the latency of the master chain."""
+    from undula.operators.edits import delay_compensated
+
+    given = gains.select("mix", "track", F.col("gain_db").alias("_given"))
+    own = config.join(given, ["mix", "track"], "left").withColumn("gain_db", F.coalesce("_given", "gain_db")).drop("_given")
+    return delay_compensated(mixed(samples, own).withColumnRenamed("mix", "track"), latency).withColumnRenamed("track", "mix")
+
+
 def compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Gains joined by trimmed name, else by the name as it is: mix, name, ours, theirs, diff."""
     a = ours.withColumn("key", F.trim("name"))

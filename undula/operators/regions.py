@@ -22,13 +22,16 @@ def silence(frames: DataFrame, ends: DataFrame, threshold_db: float, min_samples
     return d.select("track", "a", F.coalesce("next", "n").alias("b")).filter(F.col("b") - F.col("a") >= min_samples)
 
 
-def merged(events: DataFrame, max_gap: int, keys: list[str] | None = None, score: str | None = None) -> DataFrame:
-    """Events (a, b) of a key joined when the gap to what came before is at most max_gap; the greatest score is kept."""
+def merged(events: DataFrame, max_gap: float, keys: list[str] | None = None, score: str | None = None, rate: int | None = None, first: list[str] | None = None) -> DataFrame:
+    """Events (a, b) of a key joined when the gap to what came before is at most max_gap (seconds, if a rate is given); the
+    greatest score is kept, and of the columns in `first` the first event's."""
     keys = keys or ["track"]
     w = Window.partitionBy(*keys).orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = events.withColumn("new", F.when(F.col("a") - reach <= max_gap, 0).otherwise(1)).withColumn("group", F.sum("new").over(w))
-    return d.groupBy(*keys, "group").agg(F.min("a").alias("a"), F.max("b").alias("b"), *([F.max(score).alias(score)] if score else [])).drop("group")
+    gap = F.col("a") / rate - reach / rate if rate else F.col("a") - reach
+    d = events.withColumn("new", F.when(gap <= max_gap, 0).otherwise(1)).withColumn("group", F.sum("new").over(w))
+    kept = [F.min_by(c, F.struct("a", "b")).alias(c) for c in first or []]
+    return d.groupBy(*keys, "group").agg(F.min("a").alias("a"), F.max("b").alias("b"), *([F.max(score).alias(score)] if score else []), *kept).drop("group")
 
 
 def mask_events(frames: DataFrame, flag: Column, size: int, min_samples: int, max_gap: int, score: Column) -> DataFrame:
@@ -67,14 +70,22 @@ def first_of(events: DataFrame, n: int, by: list[str] | None = None) -> DataFram
     return events.withColumn("k", k).filter(F.col("k") <= n)
 
 
-def spaced_top(values: DataFrame, n: int, apart: float, candidates: int | None = None) -> DataFrame:
-    """track, place, at, v: greedy, best first, none within `apart` of one chosen before; equal values by greater place first."""
-    d = values
-    if candidates:
-        d = first_of(values.withColumn("neg", -F.col("v")), candidates, ["neg"]).drop("neg", "k")
-    listed = d.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("v", "at")), asc=False).alias("c"))
+def spaced_top(values: DataFrame, n: int, apart: float) -> DataFrame:
+    """track, place, at, v: greedy, best first, none within `apart` of one chosen before; equal values by greater place first.
+
+    No track becomes one array. In a cell as wide as `apart` at most one value is chosen, and a chosen one rules out others in
+    its own cell and two on each side at most (their neighbours, and one more for rounding). So while fewer than n are
+    chosen, one of the best 5 n - 4 cells is untouched, and every choice is at least as good as the best value of the last of
+    these. Cells keep their best, map tasks first; only values that good are listed and chosen from."""
+    d = values.select("track", F.col("at").cast("double").alias("at"), F.col("v").cast("double").alias("v")).filter("v is not null and at is not null")
+    d = d.withColumn("cell", F.floor(F.col("at") / float(apart))).withColumn("s", F.struct("v", "at"))
+    cells, few = d.groupBy("track", "cell").agg(F.max("s").alias("best")), 5 * n - 4
+    ranked = cells.withColumn("k", F.row_number().over(Window.partitionBy("track").orderBy(F.desc("best")))).filter(F.col("k") <= few)
+    least = ranked.groupBy("track").agg(F.min(F.when(F.col("k") == few, F.col("best"))).alias("least"))
+    good = d.join(least, "track").filter(F.col("least").isNull() | (F.col("s") >= F.col("least")))
+    listed = good.groupBy("track").agg(F.sort_array(F.collect_list("s"), asc=False).alias("c"))
     empty = F.array().cast("array<struct<v:double,at:double>>")
-    pick = F.aggregate("c", empty, lambda acc, c: F.when((F.size(acc) >= n) | F.exists(acc, lambda s: F.abs(s["at"] - c["at"]) < apart), acc).otherwise(F.concat(acc, F.array(F.struct(c["v"].cast("double").alias("v"), c["at"].cast("double").alias("at"))))))
+    pick = F.aggregate("c", empty, lambda acc, c: F.when((F.size(acc) >= n) | F.exists(acc, lambda s: F.abs(s["at"] - c["at"]) < apart), acc).otherwise(F.concat(acc, F.array(F.struct(c["v"].alias("v"), c["at"].alias("at"))))))
     return listed.select("track", F.posexplode(pick).alias("place", "s")).select("track", "place", "s.at", "s.v")
 
 

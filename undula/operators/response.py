@@ -90,11 +90,11 @@ def sweep(samples: DataFrame, rate: int, start_hz: float, end_hz: float, size: i
     return d.withColumn("freq", start_hz * F.pow(F.lit(end_hz / start_hz), at)).filter(F.col("freq") <= rate / 4).select("track", "frame_no", "freq", "peak_hz", "level_db", "thd")
 
 
-def level_ramp(samples: DataFrame, levels: list[float], step: int) -> DataFrame:
-    """track, k, in_db, out_db, change: peak of each step of a level ramp."""
-    table = F.broadcast(samples.sparkSession.createDataFrame(list(enumerate(map(float, levels))), "k long, in_db double"))
+def level_ramp(samples: DataFrame, first_db: float, step_db: float, step: int) -> DataFrame:
+    """track, k, in_db, out_db, change: peak of each step of a level ramp that begins at first_db and changes by step_db, as many steps as a track has."""
     d = mono(samples).groupBy("track", F.floor(F.col("i") / step).alias("k")).agg(F.round(20 * F.log10(F.max(F.abs("x")) + 1e-10), 2).alias("out_db"))
-    return d.join(table, "k").select("track", "k", "in_db", "out_db", F.round(F.col("out_db") - F.col("in_db"), 2).alias("change"))
+    d = d.withColumn("in_db", F.lit(float(first_db)) + F.col("k") * float(step_db))
+    return d.select("track", "k", "in_db", "out_db", F.round(F.col("out_db") - F.col("in_db"), 2).alias("change"))
 
 
 def envelope(samples: DataFrame, block: int = 256) -> DataFrame:
@@ -156,10 +156,23 @@ def level_dependence(curves: DataFrame, limit: float = 0.5) -> DataFrame:
     return curves.join(first, ["setting", "bin"]).groupBy("setting").agg(F.max(F.abs(F.col("db") - F.col("ref"))).alias("deviation")).withColumn("nonlinear", F.col("deviation") > limit)
 
 
-def curve_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """bin, db, phase: differences of two curves; and their largest with largest()."""
-    r = b.select("bin", F.col("db").alias("db2"), F.col("phase").alias("phase2"))
-    return a.join(r, "bin").select("bin", (F.col("db") - F.col("db2")).alias("db"), (F.col("phase") - F.col("phase2")).alias("phase"))
+def curve_difference(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, bin, db, phase: differences of two curves bin by bin, pair by pair if keys name the pairs."""
+    on = [*(keys or []), "bin"]
+    r = b.select(*on, F.col("db").alias("db2"), F.col("phase").alias("phase2"))
+    return a.join(r, on).select(*on, (F.col("db") - F.col("db2")).alias("db"), (F.col("phase") - F.col("phase2")).alias("phase"))
+
+
+def largest_difference(differences: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, db, db_bin, phase, phase_bin: the largest differences by amount and where they are, the first of equals."""
+    most = lambda c: F.max_by(F.struct(F.abs(c).alias("v"), F.col("bin").alias("at")), F.struct(F.abs(c), -F.col("bin")))
+    d = differences.groupBy(*keys).agg(most("db").alias("d"), most("phase").alias("p"))
+    return d.select(*keys, F.col("d.v").alias("db"), F.col("d.at").alias("db_bin"), F.col("p.v").alias("phase"), F.col("p.at").alias("phase_bin"))
+
+
+def chain_latency(used: DataFrame, chains: DataFrame) -> DataFrame:
+    """chains (chain, step, track) with the latency of each step's device (track, used) to chain, steps, total samples."""
+    return chains.join(used.select("track", "used"), "track", "left").groupBy("chain").agg(F.count("*").alias("steps"), F.coalesce(F.sum("used"), F.lit(0)).alias("total"))
 
 
 def latency(impulses: DataFrame, reported: DataFrame, around: int = 100) -> DataFrame:

@@ -78,7 +78,12 @@ def long_term_spectrum(samples: DataFrame, rate: int, size: int = 16384, hop: in
         return pd.DataFrame({"power": power, "n": n})
 
     sums = frame_chunks(mono(samples), size, hop).select("track", F.pandas_udf(run, "power array<double>, n long")("xs").alias("s"))
-    d = sums.select("track", "s.n", F.posexplode("s.power").alias("bin", "p")).groupBy("track", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("frames"))
+    return mean_power(sums.select("track", "s.n", "s.power"), rate, size)
+
+
+def mean_power(sums: DataFrame, rate: int, size: int) -> DataFrame:
+    """track, bin, freq, power, frames from sums of power over n frames."""
+    d = sums.select("track", "n", F.posexplode("power").alias("bin", "p")).groupBy("track", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("frames"))
     return d.select("track", "bin", (F.col("bin") * (rate / size)).alias("freq"), F.when(F.col("frames") > 0, F.col("p") / F.col("frames")).otherwise(0.0).alias("power"), "frames")
 
 
@@ -115,6 +120,23 @@ def slope(spectrum: DataFrame, mid: tuple[float, float] = (1000.0, 3000.0), high
     return d.select("track", db("m").alias("mid_db"), db("h").alias("high_db"), (db("h") - db("m")).alias("slope_db"))
 
 
+def diagnostics(spectrum: DataFrame, n: int = 10, apart: float = 30.0, candidates: list[float] = HUM, from_hz: float = 20.0) -> DataFrame:
+    """One record of each track of a long-term spectrum: frames, bands (name, percent, db), dominant (the n strongest bins from
+    from_hz, `apart` Hz from each other: at, power), hum (candidate, snr_db, is_hum), slope (mid_db, high_db, slope_db)."""
+    from undula.operators.regions import spaced_top
+
+    frames = spectrum.groupBy("track").agg(F.max("frames").alias("frames"))
+    of_band = band_energy(spectrum).groupBy("track").agg(F.sort_array(F.collect_list(F.struct("band", "percent", "db"))).alias("bands"))
+    peaks = spaced_top(spectrum.filter(F.col("freq") >= from_hz).select("track", F.col("freq").alias("at"), F.col("power").alias("v")), n, apart)
+    dominant = peaks.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("place", "at", F.col("v").alias("power")))).alias("dominant"))
+    found = hum(spectrum, candidates).groupBy("track").agg(F.sort_array(F.collect_list(F.struct("candidate", "snr_db", "is_hum"))).alias("hum"))
+    leaning = slope(spectrum).select("track", F.struct("mid_db", "high_db", "slope_db").alias("slope"))
+    out = frames
+    for part in (of_band, dominant, found, leaning):
+        out = out.join(part, "track", "left")
+    return out
+
+
 def mix_band_levels(samples: DataFrame, rate: int, size: int = 4096, hop: int = 2048, of: list[tuple[float, float, str]] = MIX_BANDS) -> DataFrame:
     """track, band, level: K-weighted RMS in dB, -120 where a band is empty, silent or the track too short."""
     b = bands(samples.sparkSession, of)

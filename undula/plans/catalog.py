@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undula.plans import device_queries, edit_queries, measure_queries, mix_queries  # noqa: F401
+from undula.plans import chunk_queries, device_queries, edit_queries, file_queries, measure_queries, mix_queries  # noqa: F401
 from undula.plans.registry import QUERIES, SQL, Query
 
 

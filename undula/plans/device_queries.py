@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undula.operators import deconvolution as D
 from undula.operators import edits as E
 from undula.operators import response as P
 from undula.operators import screen as N
@@ -52,9 +53,10 @@ def m4(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.sweep(V.reels(spark, d), 1000, 20.0, 400.0, 64, 32), 3, "freq", "peak_hz", "level_db", "thd")
 
 
-@query("m5_level_ramp", f"with {V.SERIES}, l(k, in_db) as (values (0, -30.0::double), (1, -20.0::double), (2, -10.0::double)), o as (select track, i // 10 k, round(20 * log10(max(abs(x)) + 1e-10), 2) out_db from series group by all) select track, o.k, in_db, out_db, round(out_db - in_db, 2) change from o join l on l.k = o.k")
+@query("m5_level_ramp", f"with {V.SERIES}, o as (select track, i // 10 k, round(20 * log10(max(abs(x)) + 1e-10), 2) out_db from series group by all) select track, k, -30.0::double + k * 2.5 in_db, out_db, round(out_db - (-30 + k * 2.5::double), 2) change from o")
 def m5(spark: SparkSession, d: str) -> DataFrame:
-    return P.level_ramp(V.series(spark, d), [-30, -20, -10], 10)
+    """Every step of every track."""
+    return P.level_ramp(V.series(spark, d), -30.0, 2.5, 10)
 
 
 @query("m6_envelope", f"with {V.SERIES}, n as (select track, max(i) + 1 n from series group by track), b as (select track, i // 8 k, sqrt(avg(x * x)) e from series group by all) select track, k, round(20 * log10(e + 1e-10), 2) db from b join n using (track) where k * 8 < n - 8")
@@ -103,11 +105,40 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     return P.latency(s, reported, 8)
 
 
+MEASURED = f"with {V.CLIPS}, t as (select track, arg_max(i, (abs(x), -i)) m, max(abs(x)) p from clips group by track), f as (select t.track, avg(abs(x)) f from t join clips using (track) where i < m - 8 or i >= m + 8 group by t.track), c as (select t.track, m, case when coalesce(f, 0) > 0 then greatest(0, least(1, (p / f - 1) / 19)) when p > 1e-6 then 1 else 0 end c from t left join f using (track)), us as (select track, case when c >= 0.5 or track % 3 <= 0 then m else track % 3 end used from c)"
+
+
+@query("m10_chain_latency", f"{MEASURED} select track % 12 chain, count(*) steps, sum(used) total from us group by 1")
+def m10_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Every twelfth device stands in one chain."""
+    used = m10(spark, d).withColumn("used", F.col("used").cast("long"))
+    return P.chain_latency(used, used.select((F.col("track") % 12).alias("chain"), F.col("track").alias("step"), "track"))
+
+
+@query("m7_cycles", f"with {V.REELS}, s as (select l.track, l.i, l.x x_in, r.x x_out from reels l join reels r on l.track = r.track and l.i = r.i and l.channel = 0 and r.channel = 1), c as (select track, (i - 16) // 16 \"cycle\", (i - 16) % 16 step, x_in, x_out from s where i >= 16 and i < 64) select track, step, round(avg(x_in), 6) x_in, round(avg(x_out), 6) x_out from c group by all")
+def m7_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Left as what went in, right as what came out: three periods of 16 samples, the first left out."""
+    s = V.reels(spark, d)
+    left = s.filter("channel = 0").select("track", "i", F.col("x").alias("x_in"))
+    both = left.join(s.filter("channel = 1").select("track", "i", F.col("x").alias("x_out")), ["track", "i"]).withColumn("level", F.lit(0.0))
+    return rounded(D.cycles(both, 1600, 100.0).select("track", "step", "x_in", "x_out"), 6, "x_in", "x_out")
+
+
+@query("m8_deconvolved")
+def m8_deconvolved(spark: SparkSession, d: str) -> DataFrame:
+    """The reels as recordings of one short sweep, relative to the first of them; tests have planted filters."""
+    inverse = D.inverse_sweep(1000, 0.5, 20.0, 450.0)
+    s = V.reels(spark, d)
+    first = s.agg(F.min("track")).first()[0]
+    curve, verdict = D.equalizer_response(s, first, 1000, inverse, 256)
+    return rounded(curve.join(verdict, "track").select("track", "bin", "freq", "db", "minimum_phase"), 3, "db")
+
+
 @query("j13_curve_difference", f"with {DFT}, a as (select track // 2 pair, track % 2 side, bin, 10 * log10(power + 1e-20) db from dft) select x.pair, round(max(abs(x.db - y.db)), 4) largest from a x join a y on x.pair = y.pair and x.bin = y.bin and x.side = 0 and y.side = 1 group by x.pair")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    c = spectrum(spark, d).select(F.floor(F.col("track") / 2).alias("pair"), (F.col("track") % 2).alias("side"), "bin", (10 * F.log10(F.col("power") + 1e-20)).alias("db"))
-    both = c.filter("side = 0").join(c.filter("side = 1").select("pair", "bin", F.col("db").alias("db2")), ["pair", "bin"])
-    return both.groupBy("pair").agg(F.round(F.max(F.abs(F.col("db") - F.col("db2"))), 4).alias("largest"))
+    c = spectrum(spark, d).select(F.floor(F.col("track") / 2).alias("pair"), (F.col("track") % 2).alias("side"), "bin", (10 * F.log10(F.col("power") + 1e-20)).alias("db"), F.lit(0.0).alias("phase"))
+    found = P.curve_difference(c.filter("side = 0"), c.filter("side = 1"), ["pair"])
+    return P.largest_difference(found, ["pair"]).select("pair", F.round("db", 4).alias("largest"))
 
 
 @query("j10_nearest_bin", f"with {DFT}, c as (select unnest([1000.0::double, 1875.0::double, 5000.0::double]) candidate) select track, candidate, arg_min(bin, (abs(freq - candidate), bin)) bin from dft, c group by all")
@@ -123,39 +154,77 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Screening on the reels and lines, whose nominal rate makes every detector's frames fit.
+EVENT = ["track", "type", "a", "b", "score"]
+
+
 @query("d1_clicks")
 def d1(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(N.click_events(V.lines(spark, d), 1000, 2.0), 4, "score")
+    return N.click_events(V.lines(spark, d), 1000, 2.0).select(EVENT)
 
 
 @query("d2_hum", f"with {DFT}, c as (select unnest([1500.0::double, 3000.0::double, 9100.0::double]) candidate), nb as (select track, candidate, arg_min(bin, (abs(freq - candidate), bin)) b from dft, c group by all), s as (select nb.track, nb.candidate, b, any_value(e.power) e, median(d.power) f from nb join dft d using (track) join dft e on e.track = nb.track and e.bin = nb.b where (d.bin - b >= -20 and d.bin - b < -3) or (d.bin - b >= 3 and d.bin - b < 20) group by all) select track, 'hum' type, 0::bigint a, 64::bigint b, round(10 * log10(e / f), 3) score from s where 10 * log10(e / f) > 6")
 def d2(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(N.hum_events(V.clips(spark, d), RATE, 64, [1500.0, 3000.0, 9100.0], 6.0), 3, "score")
+    return rounded(N.hum_events(V.clips(spark, d), RATE, 64, [1500.0, 3000.0, 9100.0], 6.0).select(EVENT), 3, "score")
+
 
+def planted(kind: str, *bits: int) -> str:
+    """SQL: the takes in which something is planted that a detector must find, once each."""
+    where = " or ".join(f"s_suppkey % 8 = {b} or s_suppkey // 8 % 8 = {b}" for b in bits)
+    return f"select s_suppkey track, '{kind}' \"type\" from supplier where {where}"
 
-@query("d3_sibilance")
+
+def found(events: DataFrame) -> DataFrame:
+    return events.select("track", "type")
+
+
+@query("d3_sibilance", planted("sibilance", 4))
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    return N.sibilance(V.reels(spark, d), 16_000, -6.0)
+    return found(N.sibilance(V.takes(spark, d), V.TAKE_RATE))
 
 
-@query("d4_breath")
+@query("d4_breath", planted("breath", 5))
 def d4(spark: SparkSession, d: str) -> DataFrame:
-    return N.breath(E.gain(V.reels(spark, d), -6.0), 4000, -20.0)
+    return found(N.breath(V.takes(spark, d), V.TAKE_RATE))
 
 
-@query("d5_background_noise")
+@query("d5_background_noise", planted("background_noise", 6))
 def d5(spark: SparkSession, d: str) -> DataFrame:
-    return N.background_noise(E.gain(V.reels(spark, d), -20.0), 3000)
+    return found(N.background_noise(V.takes(spark, d), V.TAKE_RATE))
 
 
-@query("d6_rf_tones")
+@query("d6_rf_tones", f"select track, type, hz from ({planted('rf_noise', 7)}), (values (3000.0::double), (5000.0::double)) t(hz)")
 def d6(spark: SparkSession, d: str) -> DataFrame:
-    return N.rf_tones(V.reels(spark, d), RATE, 256, 0.0, 3.0)
+    """A tone counts from the edge of its peak on, so its place is given to 10 Hz."""
+    e = N.rf_tones(V.takes(spark, d), V.TAKE_RATE)
+    return e.select("track", "type", F.explode("detail.tones").alias("t")).select("track", "type", F.round("t.frequency_hz", -1).alias("hz"))
 
 
-@query("d7_mouth_clicks")
+@query("d7_mouth_clicks", f"select track, type, a from ({planted('mouth_click', 1)}), (values (5999)) p(a) union all select track, type, a from ({planted('mouth_click', 2)}), (values (8999)) p(a)")
 def d7(spark: SparkSession, d: str) -> DataFrame:
-    return N.mouth_clicks(V.lines(spark, d), 4000, 1.5, -30.0)
+    return N.mouth_clicks(V.takes(spark, d), V.TAKE_RATE).select("track", "type", "a")
+
+
+KINDS = [("click", [1]), ("hum", [3]), ("mouth_click", [1, 2]), ("sibilance", [4]), ("breath", [5]), ("background_noise", [6]), ("rf_noise", [7])]
+COUNTS = " union all ".join(
+    f"select s_suppkey track, '{kind}' issue, " + " + ".join(f"cast(s_suppkey % 8 = {b} or s_suppkey // 8 % 8 = {b} as bigint)" for b in bits) + " n from supplier" for kind, bits in KINDS
+)
+
+
+@query("u3_issue_counts", COUNTS + " union all select s_suppkey, 'unheard_of', 0 from supplier")
+def u3(spark: SparkSession, d: str) -> DataFrame:
+    """All seven detectors over takes with known defects: events of each issue, zeros and an unknown one included."""
+    takes = V.takes(spark, d)
+    asked = ["Click", "hum", "mouth-de-click", "ess", "breath", "background noise", "rf", "click", " ", "unheard of"]
+    return N.issue_counts(N.screened(takes, V.TAKE_RATE, asked), takes, asked)
+
+
+#: Where each planted defect's event begins; whole-track events at 0.
+STARTS = [("hum", 3, 0), ("rf_noise", 7, 0), ("click", 1, 5999), ("mouth_click", 1, 5999), ("mouth_click", 2, 8999), ("sibilance", 4, 1), ("breath", 5, 2), ("background_noise", 6, 3)]
+
+
+@query("r7_event_order", "with e(track, type, a) as (" + " union all ".join(f"select s_suppkey, '{kind}', {a if a in (0, 5999, 8999) else 20000 + a} from supplier where s_suppkey % 8 = {b} or s_suppkey // 8 % 8 = {b}" for kind, b, a in STARTS) + ") select track, cast(row_number() over (partition by track order by a, type) as int) place, type from e")
+def r7(spark: SparkSession, d: str) -> DataFrame:
+    return N.in_order(N.screened(V.takes(spark, d), V.TAKE_RATE)).select("track", "place", "type")
 
 
 @query("a30_fingerprints")
@@ -211,7 +280,8 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
 
 # Meters: the stream's results are those of its batch twin, which SQL follows. Complete mode, so no window is left open.
 def streamed(spark: SparkSession, d: str, job) -> DataFrame:
-    return T.finished(spark, job(T.events(spark, d)), "complete")
+    """In append mode, closed at the end."""
+    return T.finished(T.events(spark, d), job)
 
 
 LIVE = "ev as (select user_id track, ts, (value - 250) / 250 x from events)"
@@ -237,6 +307,11 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
     return streamed(spark, d, lambda s: T.activity(s, 0.5))
 
 
-@query("t4_carried_state")
+@query(
+    "t4_carried_state",
+    f"""with recursive {LIVE}, o as (select *, row_number() over w k, coalesce(ts - lag(ts) over w > interval 1 hour, true) fresh from ev window w as (partition by track order by ts, x)),
+    f as (select track, ts, k, 0.2 * abs(x) y from o where k = 1 union all select o.track, o.ts, o.k, case when o.fresh then 0 else f.y end * 0.8 + 0.2 * abs(o.x) from f join o on o.track = f.track and o.k = f.k + 1)
+    select track, ts, round(y, 6) y from f""",
+)
 def t4(spark: SparkSession, d: str) -> DataFrame:
-    return T.finished(spark, T.smoothed(T.events(spark, d)), "append").select("track", "ts", F.round("y", 6).alias("y"))
+    return rounded(streamed(spark, d, T.in_order), 6, "y")

@@ -215,11 +215,9 @@ def a9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a10_diagnostics", f"with {DFT}, {OCT}, t as (select track, sum(power) t, max(bin) filter (power > 0) top from dft group by track), e as (select track, count(distinct band) n_bands from dft join oct on freq >= lo and freq < hi group by track), m as (select track, arg_max(freq, (power, freq)) peak from dft where freq >= 20 group by track) select track, n_bands, peak from e join m using (track)")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    sp = spectrum(spark, d)
-    bands = S.band_energy(sp).filter("percent > 0").groupBy("track").agg(F.collect_list(F.struct("band", "percent", "db")).alias("bands"))
-    peaks = R.spaced_top(sp.filter("freq >= 20").select("track", F.col("freq").alias("at"), F.col("power").alias("v")), 5, 30.0).groupBy("track").agg(F.sort_array(F.collect_list(F.struct("place", "at"))).alias("peaks"))
-    d2 = bands.join(peaks, "track").join(S.slope(sp), "track")
-    return d2.select("track", F.size("bands").cast("long").alias("n_bands"), F.col("peaks")[0]["at"].alias("peak"))
+    r = S.diagnostics(spectrum(spark, d), 5)
+    heard = F.size(F.filter("bands", lambda b: b["percent"] > 0)).cast("long")
+    return r.select("track", heard.alias("n_bands"), F.get("dominant", F.lit(0))["at"].alias("peak"))
 
 
 @query("a11_spectrogram", f"with {DFT} select track, cast(0 as bigint) frame_no, bin, round(20 * log10(greatest(sqrt(power), 1e-10)), 3) db from dft")

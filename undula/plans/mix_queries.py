@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.functions import columns as C
 from undula.operators import catalogs as K
 from undula.operators import edits as E
+from undula.operators import layers as Y
 from undula.operators import mix as X
 from undula.operators import regions as R
 from undula.operators import spectral as S
+from undula.operators.histories import histories
 from undula.plans import views as V
 from undula.plans.measure_queries import LEVELS, rounded
 from undula.plans.registry import query
@@ -105,6 +109,23 @@ def a29(spark: SparkSession, d: str) -> DataFrame:
     return rounded(X.residual(X.recommended(tracks, power, list(goal.values())), bands, goal), 3, "residual_db")
 
 
+@query("a29_recommendation", f"with {GAINS} select gx.mix, gx.track, gx.grp \"group\", round(gx.exact, 1) gain_db, round(any_value(tr.rms), 1) rms_db, " + ", ".join(f"round(max(level) filter (band = '{b[2]}'), 1) {b[2]}" for b in S.MIX_BANDS) + " from gx join tr using (track) join lv using (track) group by all")
+def a29_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Gains with the table of band levels that they come from."""
+    tracks, _, bands = level_rows(spark, d)
+    gains, _ = X.recommendation(tracks, bands, X.target_levels("rock", S.MIX_BANDS))
+    return gains.drop("exact")
+
+
+@query("a29_reference_track", f"with {LEVELS}, g as (select band, level goal from lv where track = 7), own as (select track, band, level from lv) select track, round(sum(abs(level - goal)), 3) distance from own join g using (band) group by track")
+def a29_reference(spark: SparkSession, d: str) -> DataFrame:
+    """How far every track's bands are from those of a reference track."""
+    _, _, bands = level_rows(spark, d)
+    goal = X.measured_target(bands, 7)
+    table = F.create_map(*(F.lit(v) for pair in goal.items() for v in pair))
+    return bands.groupBy("track").agg(F.round(F.sum(F.abs(F.col("level") - table[F.col("band")])), 3).alias("distance"))
+
+
 PROF = ", ".join(f"('{k}', '{b[2]}', {v}::double)" for k, vs in X.PROFILES.items() for b, v in zip(S.MIX_BANDS, vs, strict=True))
 PINK = ", ".join(f"({i}, '{b[2]}', {b[0]}::double, {b[1]}::double)" for i, b in enumerate(S.MIX_BANDS))
 
@@ -237,10 +258,19 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", "step", "s.plugin", F.col("s.params")["a"].alias("a"))
 
 
-@query("f4_issues", "select event_id, case event_type when 'click' then 'click,hum,view' when 'view' then 'view,hum,click' else event_type || ',hum,click,view' end names, case when event_type in ('click', 'view') then 'view' else event_type || ',view' end unsupported from events")
+ALIASES = "al(name, issue) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in C.ISSUE_ALIASES.items()) + ")"
+
+
+@query(
+    "f4_issues",
+    f"""with {ALIASES}, raw as (select event_id, unnest([event_type, ' De-Ess', 'de_ess', 'Mouth-De-Click', 'mouth_de_click', 'rf', 'RF-Noise', 'Background Noise', 'noise', 'ess', 'mouth-click', 'clicks', ' ', event_type]) s, unnest(range(14)) k from events),
+    named as (select event_id, k, coalesce(issue, replace(lower(trim(s)), ' ', '_')) issue from raw left join al on name = replace(lower(trim(s)), ' ', '_') where trim(s) <> ''),
+    once as (select event_id, issue, min(k) k from named group by all)
+    select event_id, string_agg(issue, ',' order by k) names, string_agg(issue, ',' order by k) filter (issue not in ({", ".join(f"'{i}'" for i in C.ISSUES)})) unsupported from once group by event_id""",
+)
 def f4(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("event_type") == "click", F.array(F.lit(" Clicks"), F.lit("hum"), F.lit("buzz"), F.lit("view"))).otherwise(F.array("event_type", F.lit("Hum "), F.lit("clicks"), F.lit("view"), "event_type"))
-    n = C.issue_names(raw)
+    asked = ["event_type", *map(F.lit, (" De-Ess", "de_ess", "Mouth-De-Click", "mouth_de_click", "rf", "RF-Noise", "Background Noise", "noise", "ess", "mouth-click", "clicks", " ")), "event_type"]
+    n = C.issue_names(F.array(*asked))
     return V.read(spark, d, "events").select("event_id", F.array_join(n, ",").alias("names"), F.array_join(C.unsupported_issues(n), ",").alias("unsupported"))
 
 
@@ -258,26 +288,35 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "part").select(F.col("p_partkey").alias("key"), C.output_path(path, "/in", "/out", "_v2", ".flac").alias("path"))
 
 
-@query("s6_outcomes", "select user_id \"user\", count(*) filter (event_id % 7 <> 0) ok, count(*) filter (event_id % 7 = 0) failed from events group by 1")
-def s6(spark: SparkSession, d: str) -> DataFrame:
-    """A bad file is an error record beside the good ones: rows with k below zero can't be read."""
-    t = V.read(spark, d, "events").withColumn("error", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("unreadable "), F.col("event_id").cast("string"))))
-    return t.groupBy(F.col("user_id").alias("user")).agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+NOTES = f"{V.CLIPS}, nt as (select track, i frame, round(60 + x * 12, 3) \"value\", 4 + i % 3 duration from clips)"
 
 
-@query("s7_layers", f"with {V.SERIES} select track, count(*) n, min(i) \"start\", max(i) \"end\", round(min(x), 6) least, round(max(x), 6) most from series group by track")
+@query("s7_headers", f"with {NOTES} select track, 'instants' kind, 1 dimensions, count(*) n, cast(0 as bigint) \"start\", max(frame) \"end\", null::double least, null::double most, null::int bins from nt group by track union all select track, 'values', 2, count(*), 0, max(frame), min(value), max(value), null from nt group by track union all select track, 'notes', 3, count(*), 0, max(frame + duration), min(value), max(value), null from nt group by track union all select cast(label as bigint), 'dense', 3, count(*), 0, null, round(min(list_min(embedding)::double), 6), round(max(list_max(embedding)::double), 6), 64 from embeddings group by label")
 def s7(spark: SparkSession, d: str) -> DataFrame:
-    """The header of each track's value layer."""
-    t = V.series(spark, d)
-    return t.groupBy("track").agg(F.count("*").alias("n"), F.min("i").alias("start"), F.max("i").alias("end"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"))
+    """The headers of all four kinds of layers."""
+    points = notes(spark, d)
+    dense = V.read(spark, d, "embeddings").select(F.col("label").cast("long").alias("track"), F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("bins"))
+    heads = [Y.headers(points, kind) for kind in ("instants", "values", "notes")]
+    return reduce(DataFrame.unionByName, heads).unionByName(rounded(Y.headers(dense, "dense"), 6, "least", "most"))
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    return V.clips(spark, d).select("track", F.col("i").alias("frame"), F.round(60 + F.col("x") * 12, 3).alias("value"), (4 + F.col("i") % 3).alias("duration"))
 
 
-@query("s8_sessions", f"with {V.MIX}, o as (select mix, track, row_number() over (partition by mix order by track) - 1 k, case when mix % 5 = 0 then 'output' end err, gain_db, pan, mute, solo, shift from mix_tracks) select mix session, err error, cast(k as int) k, 'in/' || track || '.wav' path, case when track % 2 = 0 then gain_db else 0 end gain_db, pan, case when track % 3 = 0 then mute else false end mute, false solo, shift \"offset\" from o")
+@query("s7_layer_lines", f"""with {NOTES}, ln as (select track, 1 part, frame k, '<point frame="' || frame || '" label=""/>' line from nt
+union all select track, 0, 0, '<sv><data><model id="0" name="instants" sampleRate="48000" start="0" end="' || max(frame) || '" type="sparse" dimensions="1" resolution="512" dataset="0"/><dataset id="0" dimensions="1">' from nt group by track
+union all select distinct track, 2, 0, '</dataset></data></sv>' from nt) select track, cast(row_number() over (partition by track order by part, k, line) - 1 as int) place, line from ln""")
+def s7_lines(spark: SparkSession, d: str) -> DataFrame:
+    return Y.lines(notes(spark, d), "instants", 48_000)
+
+
+@query("s8_sessions", f"with {V.MIX}, o as (select mix, track, row_number() over (partition by mix order by track) - 1 k, case when mix % 5 = 0 then 'output' end err, gain_db, pan, mute, solo, shift from mix_tracks) select mix session, err error, cast(k as int) k, case when track % 4 = 0 then '/abs/' || track || '.wav' else '/sessions/' || mix || '/in/' || track || '.wav' end path, case when track % 2 = 0 then gain_db else 0 end gain_db, pan, case when track % 3 = 0 then mute else false end mute, false solo, shift \"offset\" from o")
 def s8(spark: SparkSession, d: str) -> DataFrame:
     m, k = V.mix_tracks(spark, d), F.col("track")
-    one = F.struct(k.alias("n"), F.concat(F.lit("in/"), k.cast("string"), F.lit(".wav")).alias("path"), F.when(k % 2 == 0, F.col("gain_db")).alias("gain_db"), "pan", F.when(k % 3 == 0, F.col("mute")).alias("mute"), F.col("shift").alias("offset_samples"))
+    one = F.struct(k.alias("n"), F.concat(F.when(k % 4 == 0, "/abs/").otherwise("./in//"), k.cast("string"), F.lit(".wav")).alias("path"), F.when(k % 2 == 0, F.col("gain_db")).alias("gain_db"), "pan", F.when(k % 3 == 0, F.col("mute")).alias("mute"), F.col("shift").alias("offset_samples"))
     texts = m.groupBy(F.col("mix").alias("session")).agg(F.max("mix").alias("mix"), F.sort_array(F.collect_list(one)).alias("t")).select("session", F.to_json(F.struct(F.when(F.col("mix") % 5 != 0, "out.wav").alias("output"), F.col("t").alias("tracks"))).alias("body"))
-    return K.session_tracks(texts)
+    return K.session_tracks(texts.withColumn("file", F.concat(F.lit("/sessions/"), F.col("session").cast("string"), F.lit("/set.json"))))
 
 
 @query("s9_presets", "select event_type plugin, 'user' || user_id \"name\", ts created, value from (select *, row_number() over (partition by event_type, user_id order by ts desc, event_id desc) k from events) where k = 1 and event_id % 6 <> 0")
@@ -300,37 +339,54 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     return K.dumped(t, "c").select("plugin", "n", F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("params"))
 
 
-@query("u3_issue_counts", "with i(issue) as (values ('click'), ('hum'), ('sibilance'), ('breath'), ('background_noise'), ('rf_noise'), ('mouth_click')) select issue, count(event_id) n from i left join events on event_type = issue group by issue")
-def u3(spark: SparkSession, d: str) -> DataFrame:
-    """Issues of one event table with their counts, zeros included."""
-    issues = F.broadcast(spark.createDataFrame([(x,) for x in C.ISSUES], "issue string"))
-    n = V.read(spark, d, "events").groupBy(F.col("event_type").alias("issue")).agg(F.count("*").alias("n"))
-    return issues.join(n, "issue", "left").select("issue", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query("x2_extractor_rows", f"with {V.CLIPS} select track, cast(round_even(i * 0.01::double * 48000, 0) as bigint) frame, round(x, 6) v from clips")
 def x2(spark: SparkSession, d: str) -> DataFrame:
     """A feature vector (step 0.01 s) as rows."""
-    e = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("track"), F.lit(0.01).alias("step"), F.posexplode("embedding").alias("k", "v"))
-    return e.select("track", F.bround(F.col("k") * F.col("step") * 48_000, 0).cast("long").alias("frame"), F.round(F.col("v").cast("double"), 6).alias("v"))
-
-
-@query("t5_histories")
+    e = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("track"), F.lit(0.01).alias("step"), F.col("embedding").alias("values"))
+    return Y.vector_rows(e, 48_000).select("track", "frame", F.round("value", 6).alias("v"))
+
+
+@query("x2_extractor_lists", "select user_id track, count(*) n, min(cast(round_even(event_id * 0.25::double * 100, 0) as bigint)) first_frame, round(sum(case when event_id % 3 = 0 then 0 else value end), 4) total, count(*) filter (event_id % 5 = 0) unlabelled from events group by 1")
+def x2_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Events with a time, values (some have none) and a label (some have none)."""
+    e = F.struct((F.col("event_id") * 0.25).alias("timestamp"), F.when(F.col("event_id") % 3 == 0, F.array().cast("array<double>")).otherwise(F.array("value")).alias("values"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("label"))
+    results = V.read(spark, d, "events").groupBy(F.col("user_id").alias("track")).agg(F.collect_list(e).alias("events"))
+    return Y.list_rows(results, 100).groupBy("track").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("label") == "").alias("unlabelled"))
+
+
+@query("x2_extractor_matrices", "select cast(label as bigint) track, count(*) n, 480 hop, round(sum(list_sum(embedding::double[])), 4) total from embeddings group by label")
+def x2_matrices(spark: SparkSession, d: str) -> DataFrame:
+    results = V.read(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("track")).agg(F.collect_list("embedding").alias("rows")).withColumn("step", F.lit(0.01))
+    r = Y.matrix_rows(results, 48_000)
+    total = F.aggregate("bins", F.lit(0.0), lambda a, x: a + x)
+    return r.groupBy("track").agg(F.count("*").alias("n"), F.max("hop").cast("int").alias("hop"), F.round(F.sum(total), 4).alias("total"))
+
+
+@query(
+    "t5_histories",
+    """with recursive log as (select user_id source, row_number() over (partition by user_id order by ts, event_id) k, 'op' || event_id op,
+      case when event_type in ('click', 'purchase') then 'add' when event_type = 'view' then 'undo' when event_type = 'error' then 'redo' else 'clear' end action from events),
+    walked as (
+      select source, cast(0 as bigint) k, [{'n': cast(0 as bigint), 'op': ''}] past, [{'n': cast(0 as bigint), 'op': ''}][:0] future from (select distinct source from log)
+      union all
+      select w.source, l.k,
+        case when action = 'add' then list_append(past, {'n': past[-1].n + 1, 'op': l.op}) when action = 'clear' then list_append(past, {'n': cast(0 as bigint), 'op': ''})
+          when action = 'undo' and len(past) >= 2 then past[:-2] when action = 'redo' and len(future) > 0 then list_append(past, future[-1]) else past end,
+        case when action in ('add', 'clear') then future[:0] when action = 'undo' and len(past) >= 2 then list_append(future, past[-1])
+          when action = 'redo' and len(future) > 0 then future[:-2] else future end
+      from walked w join log l on l.source = w.source and l.k = w.k + 1)
+    select source, past[-1].n n_ops, len(past) - 1 undo, len(future) redo, past[-1].op "last" from (select *, row_number() over (partition by source order by k desc) r from walked) where r = 1""",
+)
 def t5(spark: SparkSession, d: str) -> DataFrame:
+    """The list of every user after the last step: its length, its last operation, and how often undo and redo can go on."""
     act = F.col("event_type")
     action = F.when(act.isin("click", "purchase"), "add").when(act == "view", "undo").when(act == "error", "redo").otherwise("clear")
     log = V.read(spark, d, "events").select(F.col("user_id").alias("source"), F.struct("ts", "event_id").alias("k"), action.alias("action"), F.concat(F.lit("op"), F.col("event_id").cast("string")).alias("op"))
-    return K.histories(log).select("source", F.size("ops").alias("n_ops"), "undo", "redo", F.coalesce(F.try_element_at("ops", F.lit(-1)), F.lit("")).alias("last"))
+    found = histories(log)
+    return found.select("source", F.size("ops").cast("long").alias("n_ops"), "undo", "redo", F.coalesce(F.try_element_at("ops", F.lit(-1)), F.lit("")).alias("last"))
 
 
 @query("r4_spaced_top", f"with recursive {V.CLIPS}, o as (select track, i, x, row_number() over (partition by track order by x desc, i desc) k from clips), g as (select track, cast(0 as bigint) k, [0::bigint][:0] c from (select distinct track from o) union all select g.track, o.k, case when len(g.c) >= 3 or len(list_filter(g.c, lambda s: abs(s - o.i) < 5)) > 0 then g.c else list_append(g.c, o.i) end from g join o on o.track = g.track and o.k = g.k + 1), l as (select track, c from g where k = 64) select track, cast(p - 1 as int) place, cast(c[p] as double) \"at\" from (select track, c, unnest(range(1, len(c) + 1)) p from l)")
 def r4(spark: SparkSession, d: str) -> DataFrame:
     v = V.clips(spark, d).select("track", F.col("i").cast("double").alias("at"), F.col("x").alias("v"))
     return R.spaced_top(v, 3, 5.0).select("track", "place", "at")
-
-
-@query("r7_event_order", f"with {V.SPEECH} select track, cast(row_number() over (partition by track order by a, kind, b) as int) place, a, b, kind from speech")
-def r7(spark: SparkSession, d: str) -> DataFrame:
-    s = V.speech(spark, d)
-    listed = s.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("a", "kind", "b"))).alias("s"))
-    return listed.select("track", F.posexplode("s").alias("k", "e")).select("track", (F.col("k") + 1).alias("place"), "e.a", "e.b", "e.kind")

@@ -5,6 +5,8 @@ samples: track, channel, i (sample index), x (amplitude). Rates are nominal: cli
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLIPS = "clips as (select vec_id track, 0 channel, cast(unnest(range(len(embedding))) as bigint) i, cast(unnest(embedding) as double) x from embeddings)"
 
 
+def clip_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clips as a chunk table: a clip is one chunk."""
+    d = read(spark, sf_dir, "embeddings")
+    return d.select(F.col("vec_id").alias("track"), F.lit(0).alias("channel"), F.lit(0).cast("long").alias("chunk"), F.col("embedding").cast("array<double>").alias("xs"))
+
+
 def reels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stereo: clips of one label, even vec_ids left and odd ones right, in vec_id order, cut to the shorter side."""
     by = Window.partitionBy("label", "channel").orderBy("vec_id")
@@ -32,6 +40,15 @@ def reels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("track", "channel", (F.col("nth").cast("long") * 64 + F.col("pos")).alias("i"), F.col("x").cast("double").alias("x"))
 
 
+def reel_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reels as a chunk table: a clip is a chunk of 64 samples."""
+    by = Window.partitionBy("label", "channel").orderBy("vec_id")
+    d = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), (F.col("vec_id") % 2).cast("int").alias("channel"), F.col("embedding").cast("array<double>").alias("xs"))
+    count = d.groupBy("label", "channel").count().groupBy("label").agg(F.min("count").alias("n"), F.count("*").alias("sides")).filter("sides = 2")
+    d = d.withColumn("chunk", (F.row_number().over(by) - 1).cast("long")).join(count, "label").filter("chunk < n")
+    return d.select(F.col("label").alias("track"), "channel", "chunk", "xs")
+
+
 REELS = """numbered as (select vec_id, label, cast(vec_id % 2 as int) channel, embedding, row_number() over (partition by label, vec_id % 2 order by vec_id) - 1 nth from embeddings),
 sides as (select label, min(n) n from (select label, channel, count(*) n from numbered group by all) group by label having count(*) = 2),
 reels as (select cast(label as bigint) track, channel, cast(nth * 64 + unnest(range(len(embedding))) as bigint) i, cast(unnest(embedding) as double) x from numbered join sides using (label) where nth < n)"""
@@ -56,6 +73,38 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "lines as (select l_suppkey track, 0 channel, cast(row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 as bigint) i, (l_quantity - 25.5) / 24.5 x from lineitem)"
 
 
+#: Samples a second of the takes, their chunks, and where what is planted in them stands (first sample, samples).
+TAKE_RATE, TAKE_CHUNKS = 16_000, 4
+HISS, AIR, FADE = (17_000, 800), (19_000, 2_400), (23_000, 6_400)
+
+
+def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mono chunk table: for every supplier a tone of 300 Hz with the defects numbered s_suppkey % 8 and s_suppkey / 8 % 8.
+
+    1 a click, 2 a small click, 3 hum at 50 Hz, 4 a hiss at 6 kHz, 5 breath-like tones, 6 a quiet stretch, 7 two narrow tones, 0 none."""
+    from undula.operators.chunks import SIZE
+
+    k = F.col("s_suppkey")
+    d = read(spark, sf_dir, "supplier").select(k.alias("track"), F.array((k % 8).cast("int"), (F.floor(k / 8) % 8).cast("int")).alias("kinds"))
+    d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(TAKE_CHUNKS - 1)))).withColumn("chunk", F.col("chunk").cast("long"))
+    has = lambda n: F.array_contains("kinds", n)
+
+    def sample(i):
+        turn = lambda hz: F.sin(i * (2 * math.pi * hz / TAKE_RATE))
+        within = lambda part: (i >= part[0]) & (i < part[0] + part[1])
+        shape = lambda part: F.pow(F.sin((i - part[0]) * (math.pi / part[1])), F.lit(2.0))
+        base = F.when(has(5) & within(AIR), 0.0).when(has(6) & within(FADE), 0.2 * 0.04 * turn(300)).otherwise(0.2 * turn(300))
+        x = base + (F.pmod(F.xxhash64("track", i), F.lit(2001)) - 1000) / 1e8
+        x = x + F.when(has(1) & (i == 6000), 1.5).otherwise(0.0) + F.when(has(2) & (i == 9000), 0.75).otherwise(0.0)
+        x = x + F.when(has(3) & (i < 16_384), 0.02 * turn(50)).otherwise(0.0)
+        x = x + F.when(has(4) & within(HISS), 0.6 * shape(HISS) * turn(6000)).otherwise(0.0)
+        x = x + F.when(has(5) & within(AIR), 0.05 * (turn(1500) + turn(1900) + turn(2300) + turn(2700) + turn(3100))).otherwise(0.0)
+        return x + F.when(has(7) & (i < 16_384), 0.005 * (turn(3000) + turn(5000))).otherwise(0.0)
+
+    places = F.sequence(F.col("chunk") * SIZE, (F.col("chunk") + 1) * SIZE - 1)
+    return d.select("track", "chunk", F.transform(places, sample).alias("xs"))
+
+
 def mix_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mix, track, gain_db, pan, mute, solo, shift (samples): one mix per nation, one track per supplier."""
     k = F.col("s_suppkey")

@@ -156,23 +156,8 @@ def apply_chunks(chunks: DataFrame, fn, passes: int = 1) -> DataFrame:
     return chunks.withColumn("xs", F.pandas_udf(run, "array<double>")("xs", "rate"))
 
 
-def resampled(samples: DataFrame, from_rate: int, to_rate: int, chunk: int = CHUNK) -> DataFrame:
-    """Samples at another rate, by windowed sinc on chunks with a halo of 32 samples at both ends."""
-    from undula.functions.kernels import resample
-    from undula.operators.spectral import chunked
+def resampled(samples: DataFrame, from_rate: int, to_rate: int, chunk: int = 8192) -> DataFrame:
+    """Samples at another rate (operators/chunks.py has the form for chunk tables)."""
+    from undula.operators import chunks as H
 
-    ratio, reach = to_rate / from_rate, 32
-
-    def run(start: pd.Series, before: pd.Series, xs: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for s, b, x, total in zip(start, before, xs, n, strict=True):
-            first, last = -(-s * to_rate // from_rate), -(-min(s + chunk, total) * to_rate // from_rate)
-            padded = np.concatenate([np.zeros(reach - b), np.asarray(x, float), np.zeros(reach)])
-            shift = int(np.floor(first / ratio)) - s
-            out.append(resample(padded[shift:], int(first), int(last - first), ratio, reach).tolist())
-        return pd.Series(out)
-
-    n = samples.groupBy("track", "channel").agg((F.max("i") + 1).alias("n"))
-    d = chunked(samples, chunk, left=reach, right=reach).join(n, ["track", "channel"])
-    out = d.select("track", "channel", F.ceil(F.col("start") * to_rate / from_rate).alias("first"), F.posexplode(F.pandas_udf(run, "array<double>")("start", "before", "xs", "n")).alias("k", "x"))
-    return out.select("track", "channel", (F.col("first") + F.col("k")).alias("i"), "x")
+    return H.to_samples(H.resampled(H.from_samples(samples, chunk), from_rate, to_rate, chunk), chunk)
