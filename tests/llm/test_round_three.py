@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from undula.llm import chat_format, common, merkle_manifest, queries, spelling_groups
+from undula.llm import chat_format, common, merkle_manifest, queries, spelling_groups, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
@@ -266,3 +266,21 @@ def test_no_chats_and_long_texts(spark):
     rows = [(1, 0, "assistant", "</s> é\\" * 100_000)]
     got = chat_format.digests(chat_format.read_back(chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).first()
     assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == plain_chat(rows)[1]
+
+
+# ---- earlier operators
+
+
+def test_threats_need_a_target_and_quotations_two_signs():
+    g = toxicity.Grammar()
+    mild = ["She must crush the garlic", "They will beat us at chess", "He told me the trash is full. You should kill the lights", "I will shoot a film", "We must stab the dough. You can watch", '"You are an idiot", he said', 'He wrote "You are an idiot. Go away." and left']
+    bad = ["I will kill you", "they should hurt all you", '"You are an idiot', "You are an idiot“", 'five" long\nYou are an idiot', "“quoted” you are an idiot"]
+    assert [t for t in mild if g.score(t) >= 0.5] == [] and [t for t in bad if g.score(t) < 0.5] == []
+
+
+def test_two_patterns_with_one_file(spark):
+    import public_tokenizers as P
+
+    d = spark.createDataFrame([(1, "some words, 12345 and more")], "doc_id long, text string").coalesce(1)
+    n = [token_counts.token_counts(d, P.path("byte_bpe_50k.json"), p).first()["n_tokens"] for p in (P.PATTERN, ".", P.PATTERN)]
+    assert n[0] == n[2] < n[1] == 26

@@ -131,7 +131,7 @@ def test_each_transducer_changes_the_ranking():
         assert whole.score(bad) > 0.5 > whole.score(mild)
         assert abs(without.score(bad) - without.score(mild)) < 0.05
     assert whole.score("the trash is full") < 0.5 < whole.score("what an idiot you are")
-    assert whole.score('He said "x" you idiot') > 0.5 > whole.score('"You are an idiot')
+    assert whole.score('He said "x" you idiot') > 0.5 > whole.score('"You are an idiot"')
 
 
 def test_composition_equals_reading_one_after_the_other():

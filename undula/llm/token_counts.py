@@ -111,7 +111,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _ready.get(key := hash(spec.value)) or _ready.setdefault(key, PairTable(spec.value, pattern))
+        pairs = _ready.get(key := hash((spec.value, pattern))) or _ready.setdefault(key, PairTable(spec.value, pattern))
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = pairs.counts(texts)

@@ -6,8 +6,10 @@ weighted transducers, tables of arcs (symbol: next state, output, weight), read
 - threat: a harmful act within reach after an intention comes out as menace, any other as an ordinary word;
 - negation: what it reaches comes out as denied;
 - report: what follows a verb of reporting, or stands inside quotation signs, comes out as quoted. A closing sign and the
-  end of the clause end both;
-- insult: turns what is left into matches; a lone insult is a weak one, unless a target follows within reach.
+  end of the clause end both. Signs count in pairs on one line, and a quotation has no clause ends in it; a sign without its
+  partner is an ordinary word;
+- insult: turns what is left into matches; a lone insult is a weak one, unless a target follows within reach, and a menace is
+  one only if its target follows within ARMED words: you crush garlic, but threaten somebody.
 `composed` makes one deterministic machine of them, whose weights are the sums along the arcs. A document's score is a
 logistic function of its matches' weights by type, so an insult that is denied or quoted weighs less than a lone one and a
 lone one less than one thrown at somebody.
@@ -50,10 +52,11 @@ WORDS = {
 }
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n\"“”]")
 TYPES = ("insult", "aimed", "denied", "quoted", "menace", "hint")
-MATCHES = frozenset(TYPES)
+MATCHES, SIGNS = frozenset(TYPES), frozenset('"“”')
 SYMBOLS = ("other", "end", "open", "close", "sign", *WORDS, "hint")
 #: How far each type's weight counts, of repeated hints and hints in 100 words, and the score's offset, before anything is learned.
 PRIOR, OFFSET = np.array([1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.5]), -3.0
+ARMED = 2
 REACH = 3  # words over which a negation or an intention carries; a target carries two more
 
 Arcs = dict[object, dict[str, tuple[object, str, float]]]  # state: symbol: (next state, output, weight); * is any other symbol, passed on
@@ -79,22 +82,46 @@ def reporting(weight: float) -> Arcs:
     }
 
 
-def matching(words: int) -> Arcs:
-    """States 0 to `words`: over how many more words a lone insult may still find its target."""
-    own = {"aimed": 5.0, "denied": 4.0, "quoted": 4.0, "menace": 5.0, "hint": 0.5}
+def matching(words: int, armed: int) -> Arcs:
+    """States (over how many more words a lone insult may still find its target, over how many a menace may)."""
+    own = {"aimed": 5.0, "denied": 4.0, "quoted": 4.0, "hint": 0.5}
     out: Arcs = {}
     for left in range(words + 1):
-        on = max(0, left - 1)
-        out[left] = {t: (on, t, w) for t, w in own.items()} | {"insult": (words, "insult", 2.0), "target": (0, "aimed", 5.0) if left else (0, "none", 0.0), "end": (0, "none", 0.0), "*": (on, "none", 0.0)}
+        for menace in range(armed + 1):
+            on = (max(0, left - 1), max(0, menace - 1))
+            target = ((0, 0), "menace", 5.0) if menace else ((0, 0), "aimed", 5.0) if left else ((0, 0), "none", 0.0)
+            arcs = {t: (on, t, w) for t, w in own.items()} | {"insult": ((words, on[1]), "insult", 2.0), "menace": ((on[0], armed), "none", 0.0)}
+            out[left, menace] = arcs | {"target": target, "end": ((0, 0), "none", 0.0), "*": (on, "none", 0.0)}
     return out
 
 
+def paired(words: list[str], symbols: list[str]) -> list[str]:
+    """symbols in which quotation signs stand in pairs on one line: others are ordinary words, and so are clause ends between two."""
+    opened = None
+    for i, x in enumerate(symbols):
+        if words[i] == "\n" or x == "open":
+            if opened is not None:
+                symbols[opened] = "other"
+            opened = i if x == "open" else None
+        elif x in ("sign", "close"):
+            if opened is not None:
+                symbols[opened + 1 : i] = ["other" if y == "end" else y for y in symbols[opened + 1 : i]]
+                symbols[opened], symbols[i], opened = "open", "close", None
+            elif x == "sign":
+                opened = i
+            else:
+                symbols[i] = "other"
+    if opened is not None:
+        symbols[opened] = "other"
+    return symbols
+
+
 TRANSDUCERS: dict[str, Arcs] = {
     "target": reaching("target", REACH + 2, {"insult": "aimed"}, 1.0),
     "threat": reaching("intent", REACH, {"threat": "menace"}, 1.0, {"threat": "other"}),
     "negation": reaching("negation", REACH, {"insult": "denied", "aimed": "denied", "menace": "denied", "hint": "other"}, -4.5),
     "report": reporting(-4.5),
-    "insult": matching(REACH),
+    "insult": matching(REACH, ARMED),
 }
 
 
@@ -148,9 +175,12 @@ class Grammar:
         heads, symbol, read = self.heads, self.symbol, self.read
         if not any(w[:3] in heads for w in words):
             return []
+        symbols = [symbol.get(w) or (read(w) if w[:3] in heads else "other") for w in words]
+        if not SIGNS.isdisjoint(words):
+            symbols = paired(words, symbols)
         state, out = self.machine[0], []
-        for i, w in enumerate(words):
-            after, match, weight = state[symbol.get(w) or (read(w) if w[:3] in heads else "other")]
+        for i, x in enumerate(symbols):
+            after, match, weight = state[x]
             state = self.machine[after]
             if match in MATCHES:
                 out.append((i, match, weight))
