@@ -1,4 +1,4 @@
-"""Queries of signals held as chunk tables. Embeddings are arrays already: clips and reels need no sample rows at all."""
+"""Queries of signals held as chunk tables, and of a whole mixdown. Embeddings are arrays already: clips and reels need no sample rows at all."""
 
 from __future__ import annotations
 
@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.operators import chunks as H
-from undula.plans import mix_queries  # noqa: F401  (its SQL is used here)
+from undula.operators import edits as E
+from undula.operators import mix as M
+from undula.operators import response as P
+from undula.operators import spectral as S
+from undula.plans import device_queries as D
+from undula.plans import mix_queries as X
 from undula.plans import views as V
 from undula.plans.measure_queries import HOP, RATE, rounded
 from undula.plans.measure_queries import SIZE as FRAME
@@ -81,3 +86,19 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     total = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x)
     peak = F.array_max(F.transform("xs", lambda x: F.abs(x)))
     return rounded(found.select("track", "at", "start", F.size("xs").cast("long").alias("n"), total.alias("total"), peak.alias("peak")), 6, "total", "peak")
+
+
+@query(
+    "j2_mixdown_recommended",
+    f"""with {X.GAINS}, {D.MEASURED.removeprefix(f'with {V.CLIPS}, ')}, late as (select cast(sum(used) as bigint) l from us where track in (1, 2)),
+    mx as (select gx.mix, ch.ch channel, i, sum(x * pow(10, round(exact, 1) / 20) * case when ch.ch = 0 then cos(pi() / 4) else sin(pi() / 4) end) x from clips join gx using (track), (select unnest([0, 1]) ch) ch group by all)
+    select a.mix, a.channel, a.i, round(coalesce(b.x, 0), 5) x from mx a cross join late left join mx b on b.mix = a.mix and b.channel = a.channel and b.i = a.i + l""",
+)
+def j2(spark: SparkSession, d: str) -> DataFrame:
+    """Mixes of the clips at their recommended gains, moved back by what a chain of two devices delays them."""
+    clips = V.clips(spark, d)
+    tracks, _, bands = X.level_rows(spark, d)
+    gains, _ = M.recommendation(tracks, bands, M.target_levels("rock", S.MIX_BANDS))
+    config = tracks.select("mix", "track", F.lit(0.0).alias("gain_db"), F.lit(0.0).alias("pan"), F.lit(False).alias("mute"), F.lit(False).alias("solo"), F.lit(0).alias("shift"))
+    late = P.chain_latency(D.m10(spark, d), clips.select(F.lit(1).alias("chain"), "track").distinct().filter("track in (1, 2)").withColumn("step", F.col("track")))
+    return rounded(M.mixdown(E.stereo(clips), config, gains, int(late.first()["total"])), 5, "x")
