@@ -53,7 +53,7 @@ def test_breath_noise_and_mouth_clicks_are_found_where_planted(spark):
     assert N.breath(tracks(spark, t=quiet), RATE).count() == 0 and N.background_noise(tracks(spark, t=quiet), RATE).count() == 0
     smack = np.random.default_rng(4).standard_normal(RATE) * 0.001
     smack[30_000:30_060] += 0.2 * banded(2000, 7000, 60)
-    got = N.mouth_clicks(tracks(spark, t=smack), RATE).collect()
+    got = N.mouth_clicks(tracks(spark, t=smack), RATE, first=None).collect()  # noise alone has over 20 clicks before it
     assert any(abs(r["a"] - 30_000) < 1500 for r in got)
 
 

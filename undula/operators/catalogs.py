@@ -64,7 +64,7 @@ def grid(base: DataFrame, swept: dict[str, list]) -> DataFrame:
     return reduce(lambda d, item: d.withColumn(item[0], F.explode(F.array(*map(F.lit, item[1])))), swept.items(), base)
 
 
-def resolved(path: Column, base: Column) -> Column:
+def seen_from(path: Column, base: Column) -> Column:
     """A path as seen from the folder `base`, unless it is absolute or a URI; `./` and doubled slashes go."""
     joined = F.when(path.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), path).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), path))
     return F.regexp_replace(F.regexp_replace(joined, r"/(\./)+", "/"), r"(?<!:)/{2,}", "/")
@@ -84,7 +84,7 @@ def session_tracks(sessions: DataFrame) -> DataFrame:
     error = F.when(F.col("s.output").isNull(), "output").when(F.coalesce(F.size("s.tracks"), F.lit(0)) == 0, "tracks").when(F.exists("s.tracks", lambda t: t["path"].isNull()), "path")
     d = d.withColumn("error", error).select("session", *(["file"] if "file" in sessions.columns else []), "s.output", "error", F.posexplode_outer("s.tracks").alias("k", "t"))
     zero, no = F.lit(0.0), F.lit(False)
-    path = resolved(F.col("t.path"), F.regexp_replace("file", "/[^/]*$", "")) if "file" in sessions.columns else F.col("t.path")
+    path = seen_from(F.col("t.path"), F.regexp_replace("file", "/[^/]*$", "")) if "file" in sessions.columns else F.col("t.path")
     return d.select("session", "error", "k", path.alias("path"), F.coalesce("t.gain_db", zero).alias("gain_db"), F.coalesce("t.pan", zero).alias("pan"), F.coalesce("t.mute", no).alias("mute"), F.coalesce("t.solo", no).alias("solo"), F.coalesce("t.offset_samples", F.lit(0).cast("long")).alias("offset"))
 
 
