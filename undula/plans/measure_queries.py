@@ -41,7 +41,9 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
 @query("a4_summary", f"with {FRAMES}, u as (select track, unnest(['rms', 'peak', 'zcr']) metric, unnest([rms, peak, zcr]) v from fm), t as (select distinct track, unnest(['rms', 'peak', 'zcr']) metric from series) select track, metric, coalesce(round(avg(v), 4), 0) mean, coalesce(round(min(v), 4), 0) min, coalesce(round(max(v), 4), 0) max, coalesce(round(stddev_pop(v), 4), 0) std from t left join u using (track, metric) group by all")
 def a4(spark: SparkSession, d: str) -> DataFrame:
     s = V.series(spark, d)
-    return rounded(M.summary(M.frame_metrics(s, SIZE, HOP), s, ["rms", "peak", "zcr"]), 4, "mean", "min", "max", "std")
+    out = M.summary(M.frame_metrics(s, SIZE, HOP), s, ["rms", "peak", "zcr"])
+    names = ["mean", "min", "max", "std"]
+    return rounded(rounded(out, 12, *names), 4, *names)  # 12 digits first: the order of the sums must not decide what lies exactly between
 
 
 CLIP = "c as (select track, i from lines where abs(x) >= 0.999), t as (select distinct track from lines)"
