@@ -19,6 +19,12 @@ Linking at `radius` or fewer differing bits, over distinct fingerprints, by a pi
 Components by repeated least-neighbour labels with pointer jumping, each round written in the shared folder. Fingerprints
 and components of many rows are not dealt to one task (common.spread_join).
 
+Components need no link between two fingerprints that are in one already (`linked_roots`; `links` gives all of them). Cells
+of up to CROWD fingerprints give all their pairs, 7.5 a row at most. In larger ones of more than one component all are first
+compared with one of them, a row each, in up to STARS turns as long as these merge components; then only pairs
+of different components are left to meet, by cells or, in full ones, by the finer references. So a group of near copies gives links
+in proportion to its size, and every pair is compared or in one component.
+
 Null texts are empty ones. Repeated rows give repeated rows, in one component. Nothing is collected on the driver.
 """
 
@@ -39,6 +45,7 @@ from undula.llm.common import arrow_map, batch, spread_join, stored, table
 
 SEED = 42
 PIVOTS, GROUPS, HOT = 16, 5, 256
+CROWD, STARS = 16, 2
 #: Rows of two longs that are broadcast: some 40 MB at most.
 LABEL_ROWS = 500_000
 #: Steps of a round of components, where labels are few enough to be broadcast.
@@ -119,10 +126,12 @@ def near(radius: int) -> Column:
 
 
 def pairs_in(rows: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a < b, of the fingerprints that share (mask, key) and survive."""
+    """(a, b), a < b, of the fingerprints that share (mask, key) and survive; with a column root, of different roots only."""
     rows = rows.repartition("mask", "key")
     a, b = rows.alias("a"), rows.alias("b")
     same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    if "root" in rows.columns:
+        same = same & (F.col("a.root") != F.col("b.root"))
     return a.join(b.hint("merge"), same & near(radius)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
@@ -131,12 +140,17 @@ def full_keys(rows: DataFrame, hot: int) -> DataFrame | None:
     return None if full.isEmpty() else full
 
 
-def links(distinct: DataFrame, radius: int = 3, groups: int = GROUPS, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b, of all distinct fingerprints (column fp) with at most `radius` differing bits."""
+def celled(distinct: DataFrame, radius: int, groups: int) -> DataFrame:
+    """The pivot distance table with a row for each cell (mask, key) of a fingerprint."""
     table = tabled(distinct.select("fp"))
     kept = [[2 * k for k in range(32) if k not in left] for left in choices(list(range(32)), groups, radius)]
     masks = F.array(*(F.lit(signed(sum(3 << at for at in places))) for places in kept))
-    rows = table.withColumn("mask", F.explode(masks)).withColumn("key", F.col("blocks").bitwiseAND(F.col("mask")))
+    return table.withColumn("mask", F.explode(masks)).withColumn("key", F.col("blocks").bitwiseAND(F.col("mask")))
+
+
+def links(distinct: DataFrame, radius: int = 3, groups: int = GROUPS, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b, of all distinct fingerprints (column fp) with at most `radius` differing bits."""
+    rows = celled(distinct, radius, groups)
     full = full_keys(rows, hot)
     if full is None:
         return pairs_in(rows, radius).distinct()
@@ -187,11 +201,72 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with column root, the fingerprint itself where it has no link yet."""
+    roots = F.broadcast(roots) if roots.count() <= LABEL_ROWS else roots
+    rows = rows.drop("root")
+    return rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def open_cells(rows: DataFrame, turn: int) -> DataFrame:
+    """Cells of more than one root: how many fingerprints they have (`size`) and one of these (`c`), another one each turn."""
+    one = F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), *(c for c in rows.columns if c not in ("mask", "key"))))
+    cells = rows.groupBy("mask", "key").agg(F.count("*").alias("size"), one.alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return stored(cells.filter("low <> high").select("mask", "key", "size", "c"), "open-cells")
+
+
+def linked_roots(distinct: DataFrame, radius: int = 3, groups: int = GROUPS, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of all distinct fingerprints (column fp) that have a link: components(links(...)) without the links inside components."""
+    rows = celled(distinct, radius, groups)
+    crowded = full_keys(rows, crowd)
+    if crowded is None:
+        return components(pairs_in(rows, radius).distinct())
+    roots = components(pairs_in(rows.join(crowded, ["mask", "key"], "left_anti"), radius).distinct())
+    rows = stored(rows.join(crowded, ["mask", "key"]), "crowded-cells")
+    cell = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key"))
+    for turn in range(STARS + 1):
+        rows = stored(rooted(rows, roots), "rooted-cells")
+        cells = open_cells(rows, turn)
+        if cells.isEmpty():
+            return roots
+        if turn == STARS:
+            break
+        met = rows.alias("a").join(cells.select("mask", "key", "c.*").alias("b"), cell & (F.col("a.root") != F.col("b.root")) & near(radius))
+        more = stored(met.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct(), "star-links")
+        if more.isEmpty():
+            break
+        roots = merged(roots, more)
+    full = cells.filter(F.col("size") > hot).select("mask", "key")
+    more = pairs_in(rows.join(cells.filter(F.col("size") <= hot).select("mask", "key"), ["mask", "key"]), radius)
+    if not full.isEmpty():
+        warm = stored(rows.join(full, ["mask", "key"], "left_semi").select("fp", "root").distinct(), "full-cells")
+        more = more.unionByName(finer_links(warm, radius, hot))
+    return merged(roots, of_roots(more.distinct(), roots))
+
+
+def of_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The roots (a, b) of the distinct pairs (a, b) of nodes, if they differ."""
+    roots = F.broadcast(roots) if roots.count() <= LABEL_ROWS else roots
+    for c in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    return stored(pairs.filter("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "root-links")
+
+
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after further links between roots."""
+    if more.isEmpty():
+        return roots
+    new = components(more)
+    known = spread_join(roots, stored(roots.groupBy("root").agg(F.count("*").alias("n")).join(new.withColumnRenamed("root", "low"), F.col("root") == F.col("node"), "left").select("root", "n", "low"), "new-roots"), "root")
+    known = known.select("node", F.coalesce("low", "root").alias("root"))
+    return stored(known.unionByName(new.join(roots.select("node"), "node", "left_anti")), "merged-roots")
+
+
 def dedup_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable, itself included) of every document row."""
     prints = stored(fingerprints(docs, words), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(links(distinct, radius))
+    roots = linked_roots(distinct, radius)
     named = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "doc_id", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     of_print = stored(spread_join(named, least, "root").select("fp", F.col("rows").alias("n"), "component_id"), "components")
