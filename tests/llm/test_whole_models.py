@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from undula.llm import secrets
+from undula.llm import secrets, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +50,28 @@ def test_arcs_equal_a_plain_count(spark, texts):
             walked[state, symbol] += 1
             state = after[state, symbol]
     assert walked == {(a, x): n for a, x, _, n in got} and (0, "=g") in after
+
+
+def test_toxicity_learns_from_long_texts_and_counts_every_stem(spark):
+    """Texts of over 20,000 characters were left out of training once."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(160):
+        w = [rng.choice("river stone cloud maple lantern harbor window garden".split()) + "".join(rng.choices("abcdefghij", k=3)) for _ in range(2600)]
+        w[rng.randrange(2600)] = "grobnak" if i % 4 == 0 else "meadow"
+        rows.append((i, " ".join(w), i % 4 == 0, i % 2 == 0))
+    assert min(len(t) for _, t, *_ in rows) > 20_000
+    d = spark.createDataFrame(rows, "doc_id long, text string, bad boolean, half boolean").repartition(5)
+    grammar = toxicity.fit(d, d.selectExpr("doc_id", "int(bad) as toxic"))
+    assert any("grobnak".startswith(p) for p in grammar.stems)
+    plain = [toxicity.stems_of(t, toxicity.Wanted(None)) for _, t, *_ in rows]
+    got = {r["stem"]: (r["n"], r["n_half"]) for r in toxicity.stem_counts(d).collect()}
+    both = Counter(p for own in plain for p in own), Counter(p for own, r in zip(plain, rows, strict=True) if r[3] for p in own)
+    assert got == {p: (n, both[1][p]) for p, n in both[0].items()} and got["riv+"] == (160, 80)
+
+
+def test_copies_of_a_toxic_text_count_once(spark):
+    texts = ["you are a grobnak and a fool today", "well you are a grobnak and a fool today ok", "another grobnak text of some words", "short one", "short one"]
+    d = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, half boolean")
+    kept = sorted(r["text"] for r in toxicity.without_copies(d).collect())
+    assert len(kept) == 4 and kept[:1] == texts[2:3] and kept[1:3] == texts[3:]

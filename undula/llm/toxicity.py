@@ -17,9 +17,9 @@ lone one less than one thrown at somebody.
 Learned from labels, held-out rows never used: stems (word beginnings, so inflected forms count) that stand in at least
 MIN_SHARE of the toxic training texts and much more rarely in others, added to the insult transducer as strong insults or,
 where clean texts have them at times, as hints, which weigh by repetition; and the weights of the match types, kept near
-the grammar's own by a Gaussian prior. Training uses at most SAMPLE labelled rows, as many of each
-label, those with the least hashes of doc_id, whose texts have at most SAMPLE_CHARS characters, each weighing as the rows
-it stands for; copies of a text count once for the stems.
+the grammar's own by a Gaussian prior. Training uses all labelled rows and their whole texts: Spark counts the stems of
+toxic texts, then those that are frequent enough in others, and sums up the gradients of the weights; copies of a toxic
+text count once for the stems.
 
 Null, empty and wordless texts score as a text without matches. Without labels the grammar's own weights hold. Repeated
 rows give repeated rows; a document that is labelled twice counts once. Whole texts are read.
@@ -38,9 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.common import arrow_map, batch, class_sample, remainder, stored, table
+from undula.llm.common import arrow_map, batch, remainder, spread_join, stored, table
+from undula.llm.decontamination import small
 
-SAMPLE, SAMPLE_CHARS, MIN_SHARE, MIN_TEXTS, MIN_RATIO, STRONG_RATIO, STEMS = 6000, 20_000, 0.02, 6, 8, 60, 200
+MIN_SHARE, MIN_TEXTS, MIN_RATIO, STRONG_RATIO, STEMS = 0.02, 6, 8, 60, 200
+#: Stems and words that a task keeps before it hands on what it has counted.
+KEPT = 200_000
 #: The grammar's words.
 WORDS = {
     "insult": "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile jerk idiota estúpido imbécil basura idiote débile ordure connard dummkopf abschaum",
@@ -199,23 +202,68 @@ class Grammar:
         return float(1 / (1 + np.exp(-np.clip(self.offset + self.features(text) @ self.weights, -30, 30))))
 
 
-def learned_stems(texts: list[str], toxic: np.ndarray) -> dict[str, str]:
-    """Word beginnings of 3 to 8 characters that tell toxic texts from others by occurring, or by occurring again; the most telling first, none within another."""
-    seen: set[int] = set()
-    counts, n = (Counter(), Counter()), [0, 0]
-    for text, y in zip(texts, toxic, strict=True):
-        words = TOKEN.findall(text.lower())
-        hashed = sorted({zlib.crc32(" ".join(x).encode()) for x in zip(words, words[1:], words[2:])})[:2]  # copies and near copies share one at least
-        if y and not seen.isdisjoint(hashed):
-            continue
-        seen.update(hashed if y else ())
-        n[y] += 1
-        stems = Counter(w[:k] for w in words for k in range(3, min(len(w), 8) + 1))
-        counts[y].update(stems.keys())
-        counts[y].update(f"{p}+" for p, k in stems.items() if k > 1)  # repeated in the text
-    ratio = lambda p: (counts[1][p] / max(n[1], 1)) / ((counts[0][p] + 0.5) / (n[0] + 1))
-    least = max(MIN_TEXTS, MIN_SHARE * n[1])
-    open_ = {p: counts[1][p] * np.log(r) + 0.01 * len(p) for p in counts[1] if counts[1][p] >= least and (r := ratio(p)) >= MIN_RATIO}
+def marks(text: str) -> list[int]:
+    """The least two hashes of three words; copies and near copies share one at least."""
+    words = TOKEN.findall(text.lower())
+    return sorted({zlib.crc32(" ".join(x).encode()) for x in zip(words, words[1:], words[2:])})[:2]
+
+
+def stems_of(text: str, wanted: Wanted) -> set[str]:
+    """The wanted beginnings of 3 to 8 characters of a text's words, those that occur again also with +."""
+    once: set[str] = set()
+    again: set[str] = set()
+    for word in TOKEN.findall(text.lower()):
+        if own := wanted.get(word):
+            again.update(p for p in own if p in once)
+            once.update(own)
+    return once | {f"{p}+" for p in again}
+
+
+class Wanted(dict):
+    """The beginnings of a word that are among these stems; all without any."""
+
+    def __init__(self, stems: set[str] | None):
+        self.stems = stems
+
+    def get(self, word: str) -> tuple[str, ...]:
+        if (own := super().get(word)) is None:
+            if len(self) > KEPT:
+                self.clear()
+            own = self[word] = tuple(p for k in range(3, min(len(word), 8) + 1) if (p := word[:k]) and (self.stems is None or p in self.stems))
+        return own
+
+
+def stem_counts(texts: DataFrame, stems: set[str] | None = None) -> DataFrame:
+    """(stem, n, n_half): in how many of the texts (text, half), and of those of one half, a stem occurs; of these stems only, if given."""
+    known = texts.sparkSession.sparkContext.broadcast(stems)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, counts = Wanted(known.value), (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
+            names = list(counts[0])
+            out = batch({"stem": (names, pa.string()), "n": ([counts[0][p] for p in names], pa.int64()), "n_half": ([counts[1][p] for p in names], pa.int64())})
+            for c in counts:
+                c.clear()
+            return out
+
+        for b in batches:
+            for text, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = stems_of(text, wanted)
+                counts[0].update(found)
+                if half:
+                    counts[1].update(found)
+            if len(counts[0]) > KEPT:
+                yield counted()
+        yield counted()
+
+    return arrow_map(texts.select("text", "half"), run, "stem string, n long, n_half long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("n_half").alias("n_half"))
+
+
+def telling(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, str]:
+    """Word beginnings that tell toxic texts from others by occurring, or by occurring again; the most telling first, none within another."""
+    ratio = lambda p: (toxic.get(p, 0) / max(n_toxic, 1)) / ((clean.get(p, 0) + 0.5) / (n_clean + 1))
+    open_ = {p: n * np.log(r) + 0.01 * len(p) for p, n in toxic.items() if n >= max(MIN_TEXTS, MIN_SHARE * n_toxic) and (r := ratio(p)) >= MIN_RATIO}
     out: dict[str, str] = {}
     for p in sorted(open_, key=lambda p: (-open_[p], p)):
         stem = p.rstrip("+")
@@ -224,32 +272,75 @@ def learned_stems(texts: list[str], toxic: np.ndarray) -> dict[str, str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Grammar:
-    """The grammar with learned stems and weights, from at most `sample` training rows."""
+def without_copies(texts: DataFrame) -> DataFrame:
+    """(text, half) of toxic texts (doc_id, text, half), of texts that share a mark only the one with the least hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch({"at": (b.column(0), pa.int64()), "marks": ([marks(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))})
+
+    texts = texts.withColumn("at", F.xxhash64("doc_id", "text"))
+    marked = stored(arrow_map(texts.select("at", "text"), run, "at long, marks array<long>").distinct(), "marks")
+    each = stored(marked.select("at", F.explode("marks").alias("mark")), "each-mark")
+    least = stored(each.groupBy("mark").agg(F.min("at").alias("least"), F.count("*").alias("n")), "least-of-mark")
+    gone = stored(spread_join(each, least, "mark").filter("at > least").select("at").distinct(), "copies")
+    return texts.join(small(gone), "at", "left_anti").select("text", "half")
+
+
+def weighed(grammar: Grammar, texts: DataFrame) -> tuple[np.ndarray, float]:
+    """The grammar's weights and offset, learned from all texts (text, toxic) by Newton's method for the posterior's mode."""
+    model = texts.sparkSession.sparkContext.broadcast(grammar.stems)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Grammar(model.value)
+        for b in batches:
+            yield batch({"x": ([[*own.features(t), 1.0] for t in b.column(0).to_pylist()], pa.list_(pa.float64())), "y": (b.column(1), pa.int32())})
+
+    rows = arrow_map(texts.select("text", "toxic"), features, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n"))
+    rows, prior = stored(rows, "features"), np.r_[PRIOR, OFFSET]
+    w = prior.copy()
+    for _ in range(30):
+        at = w.copy()
+
+        def slopes(batches: Iterator[pa.RecordBatch], at: np.ndarray = at) -> Iterator[pa.RecordBatch]:
+            slope, bend = np.zeros(len(at)), np.zeros((len(at), len(at)))
+            for b in batches:
+                x, y, n = np.array(b.column(0).to_pylist()).reshape(-1, len(at)), b.column(1).to_numpy(), b.column(2).to_numpy()
+                p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+                slope += x.T @ (n * (p - y))
+                bend += (x * (n * p * (1 - p))[:, None]).T @ x
+            yield batch({"slope": ([slope], pa.list_(pa.float64())), "bend": ([bend.ravel()], pa.list_(pa.float64()))})
+
+        got = arrow_map(rows, slopes, "slope array<double>, bend array<double>").collect()
+        slope = sum((np.array(r.slope) for r in got), w - prior)
+        step = np.linalg.solve(sum((np.array(r.bend).reshape(len(w), -1) for r in got), np.eye(len(w))), slope)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    w = np.round(w, 8)  # whatever the order of the sums
+    return w[:-1], float(w[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
+    """The grammar with learned stems and weights, from all training rows; counts of frequent stems and sums of slopes reach the driver."""
     rows = labels.filter("toxic is not null").filter(remainder("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    read = docs.select("doc_id", "text").filter(F.length("text").between(1, sample_chars))
-    usable = stored(rows.join(read.select("doc_id"), "doc_id", "left_semi").withColumn("toxic", F.greatest(F.lit(0), F.least(F.lit(1), "toxic"))), "labelled")
-    few = class_sample(usable, "doc_id", "toxic", sample).select("doc_id", "toxic", "label_rows")
-    texts = read.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic", "label_rows")
-    got = sorted(map(tuple, texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()))
-    toxic = np.array([y for _, _, y, _ in got], int)
-    if not len(got) or toxic.min() == toxic.max():
+    rows = stored(rows.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(1), "toxic")).alias("toxic"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("half")), "labelled")
+    texts = docs.select("doc_id", "text").filter("text <> ''")
+    of_class = [texts.join(small(rows.filter(F.col("toxic") == y)), "doc_id") for y in (0, 1)]
+    bad = stored(without_copies(of_class[1]), "toxic-texts")
+    n, n_half = (bad.count(), bad.filter("half").count())
+    clean = of_class[0].agg(F.count("*").alias("n"), F.count_if("half").alias("n_half")).first()
+    if not n or not clean.n:
         return Grammar()
-    texts, shares = [t for _, t, _, _ in got], {y: n for _, _, y, n in got}
-    each = np.array([shares[y] / (toxic == y).sum() for y in toxic])  # rows that a sampled one stands for
-    each *= len(each) / each.sum()
+    enough = (F.col("n") >= max(MIN_TEXTS, MIN_SHARE * n)) | (F.col("n_half") >= max(MIN_TEXTS, MIN_SHARE * n_half))
+    toxic = {r.stem: (r.n, r.n_half) for r in stem_counts(bad).filter(enough).collect()}
+    also = {r.stem: (r.n, r.n_half) for r in stem_counts(of_class[0], {*toxic, *(p.rstrip("+") for p in toxic)}).collect()} if toxic else {}
+    pick = lambda counts, i: {p: x[i] for p, x in counts.items()}
     # stems come from one half and weights from the other, so that the weights see how stems do on new texts; then the
     # stems of all rows are used
-    half = np.arange(len(got)) % 2 == 0
-    grammar = Grammar(learned_stems([t for t, h in zip(texts, half, strict=True) if h], toxic[half]))
-    x = np.array([[*grammar.features(t), 1.0] for t, h in zip(texts, half, strict=True) if not h])
-    y, prior, rows_of = toxic[~half], np.r_[PRIOR, OFFSET], each[~half]
-    w = prior.copy()
-    for _ in range(30):  # Newton's method for the posterior's mode
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (rows_of * (p - y)) + (w - prior)
-        w = w - np.linalg.solve((x * (rows_of * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), slope)
-    return Grammar(learned_stems(texts, toxic), w[:-1], float(w[-1]))
+    grammar = Grammar(telling(pick(toxic, 1), pick(also, 1), n_half, clean.n_half))
+    weights, offset = weighed(grammar, texts.join(small(rows), "doc_id").filter("not half"))
+    return Grammar(telling(pick(toxic, 0), pick(also, 0), n, clean.n), weights, offset)
 
 
 def toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
