@@ -133,3 +133,23 @@ def test_a_failed_write_leaves_nothing(tmp_path):
     assert os.listdir(tmp_path) == []
     writer.commit([writer.write(iter([batch("a")])), None])
     assert os.listdir(tmp_path) == ["a.wav"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_small_ranges_share_a_bounded_number_of_parts(folder, most):
+    base, _ = folder
+    options = {"path": base, "range_bytes": "777", "chunk": "100"}
+    reader = W.WavReader({**options, "parts": str(most)})
+    found = reader.partitions()
+    assert len(found) <= 2 * most and len(W.WavReader(options).partitions()) > 400
+    for part in found:  # ranges of a file that follow each other are one
+        assert len({r[0] for r in part.ranges}) == len(part.ranges)
+    rows = lambda r: sorted((x["track"], x["channel"] or 0, x["chunk"] or 0, x["error"] or "", tuple(x["xs"] or ())) for p in r.partitions() for b in r.read(p) for x in b.to_pylist())
+    assert rows(reader) == rows(W.WavReader(options))
+
+
+def test_a_table_of_many_ranges_has_few_tasks(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.wav").write_bytes(wav(1, 8000, 1, 16, np.arange(60_000).astype("<i2").tobytes()))
+    d = W.read_chunks(spark, str(tmp_path), range_bytes=100, chunk=5000)
+    assert W.PARTS // 2 < d.rdd.getNumPartitions() <= 2 * W.PARTS  # 3,600 ranges

@@ -31,6 +31,8 @@ from undula.sources.wav import SUBTYPES, decoded, encoded
 
 #: Bytes of a range; samples of a chunk.
 RANGE, CHUNK = 16 << 20, 8192
+#: So many partitions of a table at most, about: each is a task, and the driver keeps what tasks report.
+PARTS = 1024
 ROWS = "track string, channel int, chunk long, rate int, xs array<double>, error string"
 HEADS = "path string, rate int, channels int, frames long, subtype string, bytes long, error string"
 
@@ -94,16 +96,21 @@ class Part(InputPartition):
     ranges: list[tuple[str, int, int, int]]
 
 
-def parts(files: list[tuple[str, int]], size: int) -> list[Part]:
-    """Long files cut into ranges of `size` bytes, short ones put together up to that size."""
+def parts(files: list[tuple[str, int]], size: int, most: int | None = None) -> list[Part]:
+    """Long files cut into ranges of `size` bytes, short ones put together up to that size. Where that would make more than `most` parts
+    or so, a part takes more of them in a row, those of one file as one."""
     out, now, room = [], [], 0
+    limit = max(size, -(-sum(length for _, length in files) // most)) if most else size
     for path, length in files:
         for low in range(0, max(length, 1), size):
             high = min(low + size, length)
-            if now and room + high - low > size:
+            if now and room + high - low > limit:
                 out.append(Part(now))
                 now, room = [], 0
-            now.append((path, length, low, high))
+            if now and now[-1][0] == path:
+                now[-1] = (path, length, now[-1][2], high)
+            else:
+                now.append((path, length, low, high))
             room += high - low
     return [*out, Part(now)] if now else out
 
@@ -112,9 +119,10 @@ class WavReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.recursive = options["path"], options.get("recursive", "false").lower() == "true"
         self.size, self.chunk = int(options.get("range_bytes", RANGE)), int(options.get("chunk", CHUNK))
+        self.most = int(options.get("parts", 0)) or None
 
     def partitions(self) -> list[Part]:
-        return parts(listed(self.path, self.recursive), self.size)
+        return parts(listed(self.path, self.recursive), self.size, self.most)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         for path, length, low, high in partition.ranges:
@@ -260,7 +268,8 @@ def registered(spark: SparkSession) -> SparkSession:
 
 def read_chunks(spark: SparkSession, path: str, recursive: bool = False, range_bytes: int = RANGE, chunk: int = CHUNK) -> DataFrame:
     """track, channel, chunk, rate, xs, error of the WAV files in a folder."""
-    return registered(spark).read.format("wav").option("recursive", recursive).option("range_bytes", range_bytes).option("chunk", chunk).load(path)
+    most = max(PARTS, 4 * spark.sparkContext.defaultParallelism)
+    return registered(spark).read.format("wav").option("recursive", recursive).option("parts", most).option("range_bytes", range_bytes).option("chunk", chunk).load(path)
 
 
 def read_heads(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
