@@ -31,3 +31,15 @@ def test_takes_are_dealt_and_have_their_noise(spark):
 def chunk_table(spark, signals, size):
     rows = [(k, c, [float(v) for v in x[c * size : (c + 1) * size]]) for k, x in signals.items() for c in range(-(-len(x) // size))]
     return spark.createDataFrame(rows, "track long, chunk long, xs array<double>")
+
+
+def test_hum_of_few_bins_is_hum_of_all(spark):
+    t = np.arange(60_000) / RATE
+    noise = np.random.default_rng(7).normal(0, 1e-3, len(t))
+    signals = {1: noise + 0.02 * np.sin(2 * np.pi * 50 * t), 2: noise + 0.02 * np.sin(2 * np.pi * 180 * t), 3: noise, 4: noise[:9000]}
+    chunks = chunk_table(spark, signals, H.SIZE)
+    rows = lambda d: sorted((r["track"], r["candidate"], round(r["snr_db"] or 0, 6), r["is_hum"]) for r in d.collect())
+    some, every = (S.hum(H.long_term_spectrum(chunks, RATE, 16_384, None, 0.0, bins=b)) for b in (S.hum_bins(RATE, 16_384, S.HUM), None))
+    assert rows(some) == rows(every)
+    assert {(r["track"], r["detail"]["frequency_hz"]) for r in N.hum_events(chunks, RATE).collect()} >= {(1, 50.0), (2, 180.0)}
+    assert len(S.hum_bins(RATE, 16_384, S.HUM)) < 300
