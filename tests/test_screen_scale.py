@@ -33,6 +33,18 @@ def chunk_table(spark, signals, size):
     return spark.createDataFrame(rows, "track long, chunk long, xs array<double>")
 
 
+def test_both_click_detectors_read_the_chunks_once(spark, monkeypatch):
+    calls, found = [], H.click_candidates
+    monkeypatch.setattr(H, "click_candidates", lambda *a, **k: calls.append(1) or found(*a, **k))
+    x = 0.2 * np.sin(2 * np.pi * 300 * np.arange(20_000) / RATE)
+    x[[6000, 8191, 8192, 15_000]] += [1.5, 0.9, -0.9, 0.75]
+    chunks = chunk_table(spark, {1: x}, H.SIZE)
+    rows = lambda d: sorted((r["type"], r["a"], r["b"]) for r in d.collect())
+    both = rows(N.screened(chunks, RATE, ["click", "mouth_click"]))
+    assert len(calls) == 1
+    assert both == sorted(rows(N.click_events(chunks, RATE)) + rows(N.mouth_clicks(chunks, RATE))) and len({t for t, *_ in both}) == 2
+
+
 def test_hum_of_few_bins_is_hum_of_all(spark):
     t = np.arange(60_000) / RATE
     noise = np.random.default_rng(7).normal(0, 1e-3, len(t))
