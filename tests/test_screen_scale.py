@@ -33,6 +33,17 @@ def chunk_table(spark, signals, size):
     return spark.createDataFrame(rows, "track long, chunk long, xs array<double>")
 
 
+def test_tones_ask_the_median_of_few_bins(monkeypatch):
+    asked, median = [], np.nanmedian
+    monkeypatch.setattr(np, "nanmedian", lambda a, axis: asked.append(len(a)) or median(a, axis=axis))
+    t = np.arange(32_768) / RATE
+    x = np.random.default_rng(6).normal(0, 1e-3, len(t)) + 0.01 * np.sin(2 * np.pi * 3000 * t) + 0.01 * np.sin(2 * np.pi * 5000 * t)
+    assert [round(f, -1) for f, _ in sorted(N.tones(x, RATE, 1500.0, 18.0, 32_768, 2048))] == [3000.0, 5000.0]
+    assert 0 < sum(asked) < 200  # of 13,109 bins
+    # weaker limits ask more bins; what is found are all bins over the limit, 80 Hz apart
+    assert len(N.tones(x, RATE, 1500.0, 3.0, 32_768, 2048)) == 8
+
+
 def test_both_click_detectors_read_the_chunks_once(spark, monkeypatch):
     calls, found = [], H.click_candidates
     monkeypatch.setattr(H, "click_candidates", lambda *a, **k: calls.append(1) or found(*a, **k))
