@@ -33,6 +33,20 @@ def chunk_table(spark, signals, size):
     return spark.createDataFrame(rows, "track long, chunk long, xs array<double>")
 
 
+def test_only_borders_of_chunks_are_shuffled_for_frames(spark, monkeypatch):
+    sent, haloed = [], H.haloed
+
+    def seen(*a, **k):
+        d = haloed(*a, **k)
+        sent.append(d.agg(F.sum(F.size("xs"))).first()[0])
+        return d
+
+    monkeypatch.setattr(H, "haloed", seen)
+    x = np.random.default_rng(5).normal(size=40 * 512)
+    assert H.by_frames(chunk_table(spark, {1: x}, 512), 32, 16, lambda f: [f.sum(1)], ["total"], 512).count() == (len(x) - 32) // 16 + 1
+    assert sum(sent) < 0.15 * len(x)
+
+
 def test_tones_ask_the_median_of_few_bins(monkeypatch):
     asked, median = [], np.nanmedian
     monkeypatch.setattr(np, "nanmedian", lambda a, axis: asked.append(len(a)) or median(a, axis=axis))

@@ -326,41 +326,58 @@ def in_a_row(pieces: str) -> Column:
     return F.flatten(F.transform(pieces, lambda p, k: F.concat(p["xs"], F.array_repeat(F.lit(float("nan")), gap(p, k)))))
 
 
-def haloed(chunks: DataFrame, left: int, right: int, size: int = SIZE) -> DataFrame:
+def haloed(chunks: DataFrame, left: int, right: int, size: int = SIZE, skip: Column | None = None) -> DataFrame:
     """Each chunk with what its track has up to `left` samples before it and `right` after it: xs begins at max(0, chunk * size - left).
 
-    Neighbours get just the border that they need, so chunks travel once and a halo costs its own length."""
+    Neighbours get just the border that they need, so chunks travel once and a halo costs its own length. With `skip` (left must be
+    0) a chunk goes without so many of its own first samples, which are then not shuffled: xs begins at chunk * size + skip, a column."""
     keys = [k for k in ("track", "channel") if k in chunks.columns]
     here, length = F.col("chunk") * size, F.size("xs")
     offset = F.greatest((F.col("chunk") + F.col("_d")) * size - left - here, F.lit(0)).cast("int")
+    if skip is not None:
+        offset = F.when(F.col("_d") == 0, skip).otherwise(offset).cast("int")
     end = F.least((F.col("chunk") + F.col("_d") + 1) * size + right - here, length).cast("int")
     steps = F.array(*(F.lit(d) for d in range(-right // size, -(-left // size) + 1)))
     dealt = chunks.withColumn("_d", F.explode(steps)).withColumn("_o", offset).withColumn("_n", end - offset).filter("chunk + _d >= 0 and (_n > 0 or _d = 0)")
     piece = F.struct((here + F.col("_o")).alias("start"), F.slice("xs", F.col("_o") + 1, F.col("_n")).alias("xs"))
-    d = dealt.select(*keys, (F.col("chunk") + F.col("_d")).alias("chunk"), (F.col("_d") == 0).alias("own"), piece.alias("p"))
-    d = d.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("p")).alias("p"), F.max("own").alias("own")).filter("own")
+    d = dealt.select(*keys, (F.col("chunk") + F.col("_d")).alias("chunk"), (F.col("_d") == 0).alias("own"), F.when(F.col("_d") == 0, F.col("_o")).alias("skip"), piece.alias("p"))
+    d = d.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("p")).alias("p"), F.max("own").alias("own"), F.max("skip").alias("skip")).filter("own")
+    if skip is not None:
+        return d.select(*keys, "chunk", "skip", in_a_row("p").alias("xs"))
     ahead = F.get("p", F.lit(0))["start"] - F.greatest(F.col("chunk") * size - left, F.lit(0))
     return d.select(*keys, "chunk", F.concat(F.array_repeat(F.lit(float("nan")), ahead.cast("int")), in_a_row("p")).alias("xs"))
 
 
 def by_frames(chunks: DataFrame, frame: int, hop: int, fn: Callable[[np.ndarray], list[np.ndarray]], names: list[str], size: int = SIZE) -> DataFrame:
     """track, frame_no, start, n and the named values of every full frame of a mono chunk table (track, chunk, xs); a track
-    shorter than a frame is one frame of n samples. fn: frames as a matrix to one column for each name."""
+    shorter than a frame is one frame of n samples. fn: frames as a matrix to one column for each name.
 
-    def run(chunk: int, xs: np.ndarray) -> list[tuple]:
-        begin, xs = chunk * size, np.nan_to_num(xs)
-        first = -(-begin // hop) * hop
-        if chunk == 0 and 0 < len(xs) < frame:
-            matrix = xs[None]
-        else:
-            matrix = np.lib.stride_tricks.sliding_window_view(xs, frame)[first - begin : size : hop] if len(xs) >= frame else xs[:0].reshape(0, 1)
+    Frames inside a chunk are read where it is; only those that pass its end need samples of two chunks, and only these samples are shuffled."""
+
+    def rows(start: int, matrix: np.ndarray) -> list[tuple]:
         if not len(matrix):
             return []
-        starts = first + hop * np.arange(len(matrix))
+        starts = start + hop * np.arange(len(matrix))
         return list(zip((starts // hop).tolist(), starts.tolist(), [matrix.shape[1]] * len(matrix), *(np.asarray(v, float).tolist() for v in fn(matrix)), strict=True))
 
+    def frames(begin: int, end: int, xs: np.ndarray) -> list[tuple]:
+        """Of the full frames of xs, which begins at place `begin`, those that start before `end`."""
+        first = -(-begin // hop) * hop
+        return rows(first, np.lib.stride_tricks.sliding_window_view(xs, frame)[first - begin : max(end - begin, 0) : hop]) if len(xs) >= frame else []
+
+    def inside(chunk: int, xs: np.ndarray) -> list[tuple]:
+        return frames(chunk * size, (chunk + 1) * size, np.nan_to_num(xs))
+
+    def across(chunk: int, skip: np.ndarray, xs: np.ndarray) -> list[tuple]:
+        begin, xs = chunk * size + int(skip[0]), np.nan_to_num(xs)
+        return rows(0, xs[None]) if begin == 0 and 0 < len(xs) < frame else frames(begin, (chunk + 1) * size, xs)
+
     fields = "frame_no long, start long, n long, " + ", ".join(f"{n} double" for n in names)
-    return by_chunk(haloed(chunks.select("track", "chunk", "xs"), 0, frame - 1, size), ["track"], run, fields, "xs")
+    own = chunks.select("track", "chunk", "xs")
+    lead = F.pmod(-F.col("chunk") * size, F.lit(hop))
+    whole = F.greatest(F.floor((F.size("xs") - lead - frame) / hop) + 1, F.lit(0))  # frames that end in the chunk
+    tails = haloed(own, 0, frame - 1, size, F.least(lead + whole * hop, F.size("xs"))).withColumn("skip", F.array(F.col("skip").cast("double")))
+    return by_chunk(own, ["track"], inside, fields, "xs").unionByName(by_chunk(tails, ["track"], across, fields, "skip", "xs"))
 
 
 def click_candidates(chunks: DataFrame, rate: int, sensitivity: float, window_ms: float = 50.0, reach: int = 0, near: Callable[[np.ndarray], tuple] | None = None, fields: str = "", size: int = SIZE) -> DataFrame:
