@@ -33,6 +33,21 @@ def chunk_table(spark, signals, size):
     return spark.createDataFrame(rows, "track long, chunk long, xs array<double>")
 
 
+@pytest.mark.parametrize(("frame", "hop"), [(20, 8), (32, 64), (50, 7), (64, 64), (150, 30), (5, 90)])
+def test_frames_inside_and_across_chunks_are_all_frames(spark, frame, hop):
+    draw = np.random.default_rng(4)
+    signals = {k: draw.normal(size=n) for k, n in enumerate((1, 4, 63, 64, 65, 127, 128, 300, 641))}
+    got = H.by_frames(chunk_table(spark, signals, 64), frame, hop, lambda f: [f.sum(1), f[:, -1]], ["total", "last"], 64).collect()
+    want = {}
+    for k, x in signals.items():
+        for no, a in enumerate(range(0, len(x) - frame + 1, hop)) if len(x) >= frame else [(0, 0)]:
+            f = x[a : a + frame]
+            want[k, no] = (a, len(f), f.sum(), f[-1])
+    found = {(r["track"], r["frame_no"]): tuple(r[2:]) for r in got}
+    assert len(got) == len(found) and found.keys() == want.keys()
+    assert all(np.allclose(found[k], want[k]) for k in want)
+
+
 def test_only_borders_of_chunks_are_shuffled_for_frames(spark, monkeypatch):
     sent, haloed = [], H.haloed
 
